@@ -24,6 +24,7 @@ from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -209,16 +210,26 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of each text in ``out_col`` (a column of that name is replaced)."""
-    docs = docs.drop(out_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    """``docs`` with the ids of each text in ``out_col``, their number in
+    ``n_tokens`` and, in ``round_trip``, whether they decode to the text
+    (columns of these names are replaced)."""
+    docs = docs.drop(out_col, "n_tokens", "round_trip")
+    more = [T.StructField(out_col, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = replay_of(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            ids = [[i for f in found for i in f[0]] for _, found in _encoded(codec, texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out_col])
+            ids, same = [], []
+            for text, found in _encoded(codec, texts):
+                own = [i for f in found for i in f[0]]
+                ids.append(np.array(own, np.int32))
+                same.append(codec.decode(own) == text.encode())
+            sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            columns = [*batch.columns, lists, pa.array(np.diff(sizes).astype(np.int64)), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 
