@@ -31,9 +31,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def groups_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
-    """How many groups of about ``bytes_each`` scanned bytes ``df`` holds."""
-    return max(least, math.ceil(input_bytes(df) / bytes_each))
+def groups_for(df: DataFrame, bytes_each: int, text_col: str = "text", least: int = 8) -> int:
+    """How many groups of about ``bytes_each`` scanned bytes ``df`` holds; where
+    the optimizer knows no size, its texts' lengths are added up."""
+    size = input_bytes(df)
+    if size >= 1 << 50:
+        size = (df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 2  # as compressed
+    return max(least, math.ceil(size / bytes_each))
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:

@@ -158,11 +158,11 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, radi
 
     for a, b in pairs:
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            x, y = find(x), find(y)
+        for p, q in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            x, y = find(p), find(q)
             if x != y:
                 root[max(x, y)] = min(x, y)
-                yield x, y
+                yield p, q
 
 
 def links(distinct: DataFrame, radius: int = 4, count: int | None = None) -> DataFrame:

@@ -132,7 +132,7 @@ def _told(grp: np.ndarray, *hashes: np.ndarray) -> pa.Table:
 
 def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: words, words removed, and the digest of those kept."""
-    n = groups_for(docs, GROUP_BYTES)
+    n = groups_for(docs, GROUP_BYTES, text_col)
     dealt = texts_of(docs, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
