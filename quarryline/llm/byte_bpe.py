@@ -18,6 +18,7 @@ null; other columns are ignored (:func:`encode_texts`) or kept
 from __future__ import annotations
 
 import base64
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +39,7 @@ WALL, DEAD = (1 << SHIFT) - 1, (1 << SHIFT) - 2
 #: Words of one replay: their arrays stay in the processor's cache.
 REPLAY_WORDS = 4096
 #: Pre-tokens after which a worker's cache ages; results don't depend on it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
 
@@ -58,9 +59,11 @@ class Replay:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = pattern
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        #: pre-token -> (ids, ids as text); once full it becomes the older one, from which what is met again returns
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.token_bytes = _table(self.bytes_of)
+        self.token_digits = _table({r: b"%d " % r for r in self.bytes_of})
+        #: pre-token -> its ids; once full it becomes the older one, from which what is met again returns
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: left id << SHIFT | right id -> the id that the two merge into
         self.pair: dict[int, int] = {}
         for word, r in self.ranks.items():
@@ -138,34 +141,72 @@ class Replay:
             a = b + 1
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
-        """(ids, ids as text) of each of ``pieces``; those not known yet are encoded together."""
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids (32-bit) of each of ``pieces``, which are distinct; those not known yet are encoded together."""
         known, older = self.known, self.older
+        found = list(map(known.get, pieces))
         new = []
-        for p in pieces:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
+        for i, ids in enumerate(found):
+            if ids is None:
+                ids = older.get(pieces[i])
+                if ids is None:
+                    new.append(i)
                 else:
-                    new.append(p)
+                    found[i] = known[pieces[i]] = ids
         for a in range(0, len(new), REPLAY_WORDS):
             part = new[a : a + REPLAY_WORDS]
-            for p, ids in zip(part, self.replay([p.encode() for p in part]), strict=True):
-                known[p] = (ids, " ".join(map(str, ids)))
-        found = {p: known[p] for p in pieces}
+            for i, ids in zip(part, self.replay([pieces[i].encode() for i in part]), strict=True):
+                found[i] = known[pieces[i]] = array("i", ids).tobytes()
         if len(known) > CACHE_ENTRIES:
             self.known, self.older = {}, known
         return found
 
+    def encode_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the bounds of each text's."""
+        split_texts = [split(t, self.pattern) for t in texts]
+        coded = pa.array([p for pieces in split_texts for p in pieces], pa.large_string()).dictionary_encode()
+        own = self.learn(coded.dictionary.to_pylist())
+        codes = np.asarray(coded.indices)
+        sizes = np.array([len(x) for x in own], np.int64) // 4
+        ids = spread(np.frombuffer(b"".join(own), np.int32), np.cumsum(sizes) - sizes, sizes, codes)
+        ends = np.r_[0, np.cumsum(sizes[codes])] if len(codes) else np.zeros(1, np.int64)
+        return ids, ends[np.cumsum([0, *map(len, split_texts)])]
+
     def encode(self, text: str) -> list[int]:
-        pieces = split(text, self.pattern)
-        found = self.learn(set(pieces))
-        return [i for p in pieces for i in found[p][0]]
+        return self.encode_group([text])[0].tolist()
+
+    def decode_group(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and the bounds that ``bounds`` of ids have in them."""
+        return self._joined(self.token_bytes, ids, bounds)
+
+    def say_group(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with each id in decimal digits and a space behind it."""
+        return self._joined(self.token_digits, ids, bounds)
+
+    def _joined(self, table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, starts, sizes = table
+        ends = np.r_[0, np.cumsum(sizes[ids])] if len(ids) else np.zeros(1, np.int64)
+        return spread(flat, starts, sizes, ids), ends[bounds]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """flat[starts[w]:starts[w] + sizes[w]] for each w of ``which``, in a row."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(total)]
+
+
+def _table(parts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts by number, joined; their starts and sizes."""
+    rows = [parts.get(i, b"") for i in range(max(parts) + 1)]
+    sizes = np.array(list(map(len, rows)), np.int64)
+    return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 @lru_cache(maxsize=2)
 def replay_of(path: str, pattern: str) -> Replay:
     return Replay(path, pattern)
@@ -175,18 +216,16 @@ def replay_of(path: str, pattern: str) -> Replay:
 AT_ONCE = 512 << 10
 
 
-def _encoded(codec: Replay, texts: list[str]) -> Iterator[tuple[str, list[tuple[tuple[int, ...], str]]]]:
-    """Each text with the (ids, ids as text) of its pre-tokens."""
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts by turns, about AT_ONCE characters together."""
     a = 0
     while a < len(texts):
-        group, size = [], 0
-        while a < len(texts) and (not group or size < AT_ONCE):
-            group.append(split(texts[a], codec.pattern))
-            size += len(texts[a])
-            a += 1
-        known = codec.learn(set().union(*group))
-        for k, pieces in enumerate(group):
-            yield texts[a - len(group) + k], [known[p] for p in pieces]
+        b, size = a, 0
+        while b < len(texts) and (b == a or size < AT_ONCE):
+            size += len(texts[b])
+            b += 1
+        yield texts[a:b]
+        a = b
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,12 +235,15 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         codec = replay_of(path, pattern)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for text, found in _encoded(codec, batch.column("text").to_pylist()):
-                ids = [i for f in found for i in f[0]]
-                decoded, own = codec.decode(ids), text.encode()
-                digest = sha256(" ".join([f[1] for f in found]).encode()).hexdigest()
-                for c, v in zip(cols, (len(ids), digest, sha256(decoded).hexdigest(), len(own), decoded == own), strict=True):
-                    c.append(v)
+            for texts in _groups(batch.column("text").to_pylist()):
+                ids, at = codec.encode_group(texts)
+                decoded, d = codec.decode_group(ids, at)
+                said, s = codec.say_group(ids, at)
+                for i, text in enumerate(texts):
+                    own, back = text.encode(), decoded[d[i] : d[i + 1]].tobytes()
+                    digest = sha256(said[s[i] : max(s[i], s[i + 1] - 1)].tobytes()).hexdigest()
+                    for c, v in zip(cols, (int(at[i + 1] - at[i]), digest, sha256(back).hexdigest(), len(own), back == own), strict=True):
+                        c.append(v)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
@@ -221,14 +263,16 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
         codec = replay_of(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            ids, same = [], []
-            for text, found in _encoded(codec, texts):
-                own = [i for f in found for i in f[0]]
-                ids.append(np.array(own, np.int32))
-                same.append(codec.decode(own) == text.encode())
-            sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
-            columns = [*batch.columns, lists, pa.array(np.diff(sizes).astype(np.int64)), pa.array(same, pa.bool_())]
+            ids, sizes, same = [np.zeros(0, np.int32)], [0], []
+            for group in _groups(texts):
+                own, at = codec.encode_group(group)
+                decoded, d = codec.decode_group(own, at)
+                ids.append(own)
+                sizes += np.diff(at).tolist()
+                same += [decoded[d[i] : d[i + 1]].tobytes() == t.encode() for i, t in enumerate(group)]
+            offsets = np.cumsum(sizes).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            columns = [*batch.columns, lists, pa.array(np.array(sizes[1:], np.int64)), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
