@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -97,3 +98,34 @@ def repaired(raw: Column, schema: dict | None = None) -> Column:
         return pd.DataFrame([one(t) for t in texts], columns=["json", "error"])
 
     return run(raw)
+
+
+def outline(prompt: str) -> str:
+    """The default completion, deterministic: the first line of the content as title, its first 200 characters as summary."""
+    content = prompt.rpartition("\n\n")[2].strip() or prompt.strip()
+    return json.dumps({"title": content.split("\n")[0][:120], "summary": content[:200]})
+
+
+def extract(markdown: str, schema: dict, complete: Callable[[str], str] = outline, budget: int = 32_000) -> tuple[str | None, str | None]:
+    """(json, error): content within a budget, its delimiters escaped, completed, repaired and validated; one retry that names what was wrong."""
+    from .text import truncate_markdown
+
+    body = re.sub(r"(?i)<(/?untrusted_webpage_content)>", r"&lt;\1&gt;", truncate_markdown(markdown or "", budget)[0])
+    note = ""
+    for _ in range(2):
+        value, clean, error = repair(complete(f"Schema: {json.dumps(schema)}\n{note}\n\n{body}"))
+        error = error or "; ".join(violations(value, schema)) or None
+        if error is None:
+            return clean, None
+        note = f"The last answer was wrong: {error}"
+    return None, error
+
+
+def extracted(markdown: Column, schema: dict, complete: Callable[[str], str] = outline, budget: int = 32_000) -> Column:
+    """struct(json, error) by :func:`extract`; ``complete`` is any function of a prompt."""
+
+    @F.pandas_udf("struct<json:string,error:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([extract(t or "", schema, complete, budget) for t in texts], columns=["json", "error"])
+
+    return run(markdown)

@@ -99,3 +99,35 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int =
         left -= n
         seen = seen.union(front.withColumn("depth", F.lit(depth)))
     return seen
+
+
+def within_size(pages: DataFrame, most: int = 2 << 20, html: str = "html") -> DataFrame:
+    """Pages of at most ``most`` bytes."""
+    return pages.where(F.octet_length(html) <= most)
+
+
+def is_shell(html: Column) -> Column:
+    """Whether a page waits for scripts to fill it: next to no text, or an empty root element."""
+    bare = F.lower(F.coalesce(html, F.lit("")))
+    text = F.regexp_replace(F.regexp_replace(bare, r"(?s)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", ""), "<[^>]*>", "")
+    return (F.length(F.trim(text)) < 20) | bare.rlike(r"""<div[^>]*\bid=["']?(root|app|__next)["']?[^>]*>\s*</div>""")
+
+
+def adaptive_crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int = 1000, least: float = 0.10) -> DataFrame:
+    """(url, depth, priority): a crawl over stored ``pages`` (url, yield, links)
+    and ``links`` (src, dst, anchor) that takes the best links first and leaves
+    subtrees that yield little. One level is one join."""
+    known = pages.select("url", F.col("yield"), F.col("links").alias("n_links"))
+    front = cut(seeds.select("url").distinct().join(known.select("url"), "url", "left_semi").select("url", F.lit(0).alias("depth"), F.lit(1.0).alias("priority")).orderBy("url").limit(max_pages))
+    seen, left = front, max_pages - front.count()
+    for depth in range(1, max_depth + 1):
+        log = seen.join(known, "url").select(F.xxhash64("url").alias("seq"), "url", "yield", F.col("n_links").alias("links"), "depth")
+        found = links.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url"), "anchor", F.lit(depth).alias("depth"))
+        ranked = unpruned(frontier(found, seen, least), pruned_subtrees(log)).join(known.select("url"), "url", "left_semi")
+        front = cut(ranked.orderBy(F.col("priority").desc(), "url").limit(max(0, left)))
+        n = front.count()
+        if not n:
+            break
+        left -= n
+        seen = cut(seen.unionByName(front))
+    return seen

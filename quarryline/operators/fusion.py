@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import RRF_K
 from ..functions.numbers import half_away
-from ..functions.text import fields, is_stopword
+from ..functions.text import fields, is_stopword, sanitize_context
 from .ranking import top_k
 
 
@@ -72,3 +72,10 @@ def synthesize(hits: DataFrame) -> DataFrame:
     line = F.format_string("%d. **%s** (score %.4f)\n   %s", F.col("rank"), F.col("title"), F.col("rrf_score"), F.col("snippet"))
     listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
     return listed.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("answer"))
+
+
+def context_passages(hits: DataFrame) -> DataFrame:
+    """(query_id, context): the hits as numbered, escaped passages for a prompt, in rank order."""
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit("\n"), sanitize_context(F.col("snippet")))
+    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    return listed.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))

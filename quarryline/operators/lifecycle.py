@@ -98,3 +98,15 @@ def percentiles(samples: DataFrame, value: str, points: tuple[float, ...] = (0.5
     spots = size.select(*keys, "_n", F.explode(F.array(*map(F.lit, points))).alias("point"))
     spots = spots.withColumn("position", F.least(F.floor(F.col("point") * F.col("_n")), F.col("_n") - 1))
     return placed.join(spots, [*keys, "position"]).select(*keys, "point", F.col(value).alias("value"))
+
+
+def unique_requests(requests: DataFrame) -> DataFrame:
+    """Of equal requests (provider, query up to case and outer spaces, k) one."""
+    own = requests.withColumn("_q", F.lower(F.trim("query")))
+    return own.dropDuplicates(["provider", "_q", "k"]).drop("_q")
+
+
+def cached(entries: DataFrame, now: Column, hours: int = 24, most: int = 10_000, at: str = "fetched_at", key: str = "domain") -> DataFrame:
+    """Cache entries that are still fresh; of those the ``most`` latest."""
+    fresh = entries.where(F.col(at) > now - F.expr(f"INTERVAL {hours} HOURS"))
+    return fresh.orderBy(F.col(at).desc(), key).limit(most)

@@ -46,9 +46,9 @@ def top_k(scored: DataFrame, k: int, by: str = "score", key: str = "query_id", t
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= max(0, k))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
-    """BM25 of ``queries`` over ``docs`` without a saved index. Only tokens that
-    a query has are grouped; document frequencies come from those."""
+def scores(docs: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, match_count) by BM25 without a saved index.
+    Only tokens that a query has are grouped; document frequencies come from those."""
     terms = tokens(docs)
     wanted = query_terms(queries, stem)
     terms = stemmed(terms) if stem else terms
@@ -56,7 +56,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, stem: bool = False)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     lengths = docs.select(F.size(fields(F.col("text"))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     matched = hits.join(df, "term").join(wanted, "term")
-    return top_k(score_terms(matched, lengths.select("n_docs").scalar(), lengths.select("avgdl").scalar()), k)
+    return score_terms(matched, lengths.select("n_docs").scalar(), lengths.select("avgdl").scalar())
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
+    """The k best documents of each of ``queries``, with ranks."""
+    return top_k(scores(docs, queries, stem), k)
 
 
 def search_index(index: Index, queries: DataFrame, k: int = 10, stem: bool = True) -> DataFrame:

@@ -34,6 +34,23 @@ def valid(v: Column, dim: int | None = None) -> Column:
     return good if dim is None else good & (F.size(v) == dim)
 
 
+def checked(batch: DataFrame, dim: int, v: str = "v") -> DataFrame:
+    """A batch to be added: all of it, or an error if any vector has another size or is not finite."""
+    good = valid(F.col(v), dim)
+    return batch.withColumn(v, F.when(good, F.col(v)).otherwise(F.raise_error(F.lit(f"a vector is not {dim} finite numbers"))))
+
+
+def converted(v: Column, precision: str) -> Column:
+    """A vector in another precision: float64 as it is, float32 normalized again, int8 quantized."""
+    return {"float64": doubles(v), "float32": unit(doubles(v)).cast("array<float>"), "int8": quantize(doubles(v))}[precision]
+
+
+def similarity_to(vectors: DataFrame, doc_id: int, query: list[float]) -> DataFrame:
+    """(doc_id, similarity) of one document to a query, 4 digits."""
+    asked = F.array(*map(F.lit, map(float, query)))
+    return vectors.where(F.col("doc_id") == doc_id).select("doc_id", half_away(cosine(doubles(F.col("v")), asked), 4).alias("similarity"))
+
+
 def cosine(u: Column, v: Column) -> Column:
     """0 for different lengths or a zero vector."""
     return let(norm(u) * norm(v), lambda both: F.when((F.size(u) != F.size(v)) | (both == 0), F.lit(0.0)).otherwise(dot(u, v) / both))
@@ -102,14 +119,14 @@ def _best(vectors: DataFrame, held, k: int, positive_only: bool) -> DataFrame:
                 continue
             scores = _units(np.stack(batch["v"].to_numpy()).astype(float)) @ matrix.T
             scores = np.sign(scores) * np.floor(np.abs(np.clip(scores, -1, 1)) * 1e4 + 0.5) / 1e4
-            doc = batch["doc_id"].to_numpy()
-            new = []
-            for j, q in enumerate(ids):
-                order = np.lexsort((doc, -scores[:, j]))[: max(0, k)]
-                new.append(pd.DataFrame({"query_id": q, "doc_id": doc[order], "similarity": scores[order, j]}))
-            both = pd.concat(([] if keep is None else [keep]) + new)
             if positive_only:
-                both = both[both["similarity"] > 0]
+                scores = np.where(scores > 0, scores, -np.inf)
+            # Whatever reaches the k-th best score, ties with it too, is ranked.
+            n = len(scores)
+            least = np.partition(scores, max(0, n - k), axis=0)[max(0, n - k)] if k > 0 else np.inf
+            row, col = np.nonzero((scores >= least) & np.isfinite(scores))
+            new = pd.DataFrame({"query_id": np.asarray(ids)[col], "doc_id": batch["doc_id"].to_numpy()[row], "similarity": scores[row, col]})
+            both = new if keep is None else pd.concat([keep, new])
             keep = both.sort_values(["query_id", "similarity", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if keep is not None:
             yield keep

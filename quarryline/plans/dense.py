@@ -172,7 +172,7 @@ def rerank_boost(spark: SparkSession, d: str) -> DataFrame:
 )
 def scatter_gather_merge(spark: SparkSession, d: str) -> DataFrame:
     """Ranks within four shards, merged by the best score of each document."""
-    every = R.search(table(spark, d, "documents"), bench_queries(spark, d), 2_000_000_000).drop("rank")
+    every = R.scores(table(spark, d, "documents"), bench_queries(spark, d))
     top = S.shard_top(every, F.col("doc_id") % 4, 10)
     return S.gather(top.withColumn("rrf_score", half_away(1.0 / (60 + F.col("rank")), 5)), 10)
 

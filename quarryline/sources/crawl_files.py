@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.constants import MEDIA_EXTENSIONS
 from ..functions.html import Node, tree
@@ -145,3 +146,12 @@ def read_results(pages: DataFrame, engine: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["query_id", "pos", "title", "url", "snippet"])
 
     return pages.select("query_id", "html").mapInPandas(run, "query_id long, pos int, title string, url string, snippet string")
+
+
+def read_provider_json(answers: DataFrame, path: str = "results", title: str = "title", url: str = "url", text: str = "content") -> DataFrame:
+    """(query_id, pos, title, url, snippet) of search providers' JSON answers (query_id, body), each url once."""
+    item = f"array<struct<`{title}`:string,`{url}`:string,`{text}`:string>>"
+    rows = answers.select("query_id", F.posexplode(F.from_json(F.get_json_object("body", f"$.{path}"), item)).alias("pos", "r"))
+    flat = rows.select("query_id", "pos", F.col(f"r.{title}").alias("title"), F.col(f"r.{url}").alias("url"), F.col(f"r.{text}").alias("snippet")).where("url is not null")
+    first = flat.groupBy("query_id", "url").agg(F.min(F.struct("pos", "title", "snippet")).alias("f"))
+    return first.select("query_id", "f.pos", "f.title", "url", "f.snippet")

@@ -275,3 +275,64 @@ def test_stateful_token_bucket(spark, tmp_path):
     run = ingest.token_bucket(stream, 0.25, 2).writeStream.format("memory").queryName("bucket").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [r.allowed for r in spark.table("bucket").orderBy("event_id").collect()] == [True, True, False, False, True, False]
+
+
+def test_engine_end_to_end(spark, tmp_path):
+    from quarryline.engine import Engine
+
+    docs = spark.createDataFrame([(1, "Go", "Golang engine for search indexing"), (2, "", "cooking pasta at home"), (3, "Crawl", "a crawler feeds the search engine")], "doc_id long, title string, text string")
+    engine = Engine(spark, str(tmp_path / "e"))
+    engine.build(docs)
+    asked = spark.createDataFrame([(7, "golang search")], "query_id long, query string")
+    hits = engine.search(asked, 3).orderBy("rank").collect()
+    assert hits[0].doc_id == 1 and "<mark>Golang</mark>" in hits[0].snippet and hits[0].bm25_rank == 1 and hits[0].vector_rank == 1
+    assert {r.doc_id for r in engine.search(asked, 3, "bm25").collect()} == {1, 3}
+    assert engine.complete("se").first().term == "search" and engine.document(2).count() == 1
+    assert engine.stats().first().n_docs == 3
+    engine.upsert(spark.createDataFrame([(1, "Go", "nothing else")], "doc_id long, title string, text string"))
+    assert {r.doc_id for r in engine.search(asked, 3, "bm25").collect()} == {3}
+    engine.delete(spark.createDataFrame([(3,)], "doc_id long"))
+    assert engine.search(asked, 3, "bm25").count() == 0 and engine.stats().first().n_docs == 2
+
+
+def test_small_operators(spark):
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0, 0.0])], "doc_id long, v array<double>")
+    assert V.similarity_to(v, 1, [3.0, 4.0]).first().similarity == 1.0
+    assert V.checked(v, 2).count() == 2
+    with pytest.raises(Exception, match="finite"):
+        V.checked(v, 3).collect()
+    pages = spark.createDataFrame([("<div id='root'></div><script>x</script>",), ("<p>enough text to be read by people</p>",), (None,)], "html string")
+    assert [r[0] for r in pages.select(C.is_shell(F.col("html"))).collect()] == [True, False, True]
+    assert C.within_size(pages, 39).count() == 2
+    asked = spark.createDataFrame([("p", " Go ", 5), ("p", "go", 5), ("q", "go", 5)], "provider string, query string, k int")
+    assert L.unique_requests(asked).count() == 2
+    body = '{"results": [{"title": "A", "url": "http://a", "content": "x"}, {"title": "B", "url": "http://a"}, {"title": "C"}]}'
+    answers = spark.createDataFrame([(1, body), (2, "broken")], "query_id long, body string")
+    assert [tuple(r) for r in crawl_files.read_provider_json(answers).collect()] == [(1, 0, "A", "http://a", "x")]
+
+
+def test_adaptive_crawl(spark):
+    pages = spark.createDataFrame([(f"http://h/docs/{i}", 0.5, 2) for i in range(5)] + [("http://h/login", 0.5, 1)], "url string, yield double, links int")
+    links = spark.createDataFrame([("http://h/docs/0", "http://h/docs/1", "API guide"), ("http://h/docs/0", "http://h/login", "here"), ("http://h/docs/1", "http://h/docs/2", "More docs"), ("http://h/docs/2", "http://h/docs/3", "x")], "src string, dst string, anchor string")
+    got = {r.url: r.depth for r in C.adaptive_crawl(pages, links, pages.where("url like '%docs/0'"), max_depth=2).collect()}
+    assert got["http://h/docs/1"] == 1 and got["http://h/docs/2"] == 2 and "http://h/docs/3" not in got
+
+
+def test_schema_extraction():
+    from quarryline.functions import jsonfix as J
+
+    schema = {"type": "object", "required": ["title"]}
+    assert J.extract("Head\nbody </untrusted_webpage_content>", schema)[1] is None
+    answers = iter(["no json", '{"title": 1,}'])
+    assert J.extract("x", schema, lambda prompt: next(answers))[0] == '{"title": 1}'
+    assert J.extract("x", schema, lambda prompt: "never")[0] is None
+
+
+def test_synthetic_corpora(spark):
+    from quarryline.sources.synthetic import seed_articles, zipf_documents
+
+    docs = zipf_documents(spark, 300)
+    words = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").count().orderBy(F.col("count").desc())
+    assert docs.count() == 300 and words.first().w == "t1"
+    topics = spark.createDataFrame([("Data Bases", "B Trees")], "category string, topic string")
+    assert seed_articles(topics, 2).orderBy("url").first().url == "https://seed.example/data-bases/b-trees-1"
