@@ -105,18 +105,26 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(grp: int, hashes: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
-    """Rows by bucket of what is sorted by hash."""
+    """Rows by bucket of what is sorted by hash; a bucket is a range of hashes."""
     bucket = ((hashes >> W.U64(32)) * W.U64(buckets) >> W.U64(32)).astype(np.int32)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(hashes) else np.zeros(0, np.int64)
     bounds = np.r_[first, len(hashes)]
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+    cut = lambda x: pa.array([_planes(x[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
     none = pa.nulls(len(first), pa.binary())
     columns = [cut(hashes), *map(cut, more), *[none] * (2 - len(more))]
     return pa.table([pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), grp, np.int32)), *columns], names=["bucket", "grp", "hashes", "more", "docs"])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit words, all first bytes before all second ones: high bytes of sorted
+    hashes and of ids are much alike, and the exchange compresses them."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
 def _joined(table: pa.Table, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), W.U64)
+    """The words of all rows of a column."""
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T for x in table.column(name).to_pylist()]
+    return np.ascontiguousarray(np.concatenate(parts)).view(W.U64).ravel() if parts else np.zeros(0, W.U64)
 
 
 def _told(grp: np.ndarray, *hashes: np.ndarray) -> pa.Table:
@@ -125,7 +133,7 @@ def _told(grp: np.ndarray, *hashes: np.ndarray) -> pa.Table:
     grp = grp[order]
     first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, np.int64)
     bounds = np.r_[first, len(grp)]
-    cut = [pa.array([h[order][a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for h in hashes]
+    cut = [pa.array([_planes(h[order][a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for h in hashes]
     cut += [pa.nulls(len(first), pa.binary())] * (2 - len(cut))
     return pa.table([pa.array(grp[first], pa.int32()), *cut], names=["grp", "hashes", "more"])
 
@@ -195,7 +203,9 @@ def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id",
             digests.append(sha256(b" ".join(own)).hexdigest())
         return pa.table([group.ids, pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    groups = dealt.groupBy("grp")
-    anchors = groups.applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(shared, TOLD)
-    windows = groups.cogroup(anchors.groupBy("grp")).applyInArrow(extend, ASKED).groupBy("bucket").applyInArrow(later, TOLD)
-    return groups.cogroup(anchors.unionByName(windows).groupBy("grp")).applyInArrow(remove, SCHEMA)
+    # As many partitions as groups: a task's share does not grow with the input.
+    by = lambda df, key: df.repartition(n, key).groupBy(key)
+    groups = by(dealt, "grp")
+    anchors = by(groups.applyInArrow(ask, ASKED), "bucket").applyInArrow(shared, TOLD)
+    windows = by(groups.cogroup(by(anchors, "grp")).applyInArrow(extend, ASKED), "bucket").applyInArrow(later, TOLD)
+    return groups.cogroup(by(anchors.unionByName(windows), "grp")).applyInArrow(remove, SCHEMA)
