@@ -16,8 +16,10 @@ from ._runtime import durable
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """(u, v) joined with m, the smallest v of u."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    """(u, v) joined with m, the smallest v of u. The minima are written first:
+    both sides of the join are then dealt by u for it alone, and adaptive
+    execution may split the edges of a hub."""
+    return edges.join(durable(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def _mark(edges: DataFrame) -> tuple:
