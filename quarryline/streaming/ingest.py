@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,28 +22,27 @@ def messages(raw: DataFrame, schema: str = MESSAGE) -> DataFrame:
 
 
 def upsert_index(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: replaces the batch's documents in the index at ``path``.
+    """For foreachBatch: adds the batch's documents to the index at ``path``.
 
-    Each batch is a version of its own, written beside the last and then
-    pointed to, so a batch that is run again overwrites only itself and readers
-    see the old version until the new one is whole. Postings of a replaced
-    document all go, also of terms that it no longer has."""
+    A batch writes its own postings and lengths as a version and then marks it
+    whole, so a batch that is run again overwrites only itself, readers never
+    see half of one, and the cost of a batch is its own size. Readers take each
+    document from its latest version, so all postings of a replaced document
+    go, also of terms that it no longer has. :func:`compact` merges versions."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         latest = batch.groupBy("doc_id").agg(F.max_by("text", "version").alias("text"))
-        new = {"postings": postings(tokens(latest)), "doc_len": doc_lengths(latest)}
-        before = [n for n in versions(spark, path) if n < number]
-        for name, rows in new.items():
-            if before:
-                old = spark.read.parquet(f"{path}/v={max(before)}/{name}")
-                rows = old.join(latest.select("doc_id"), "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
-            rows.write.mode("overwrite").parquet(f"{path}/v={number}/{name}")
-        spark.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{path}/v={number}/done")
+        _write(path, number, postings(tokens(latest)), doc_lengths(latest))
 
     return run
 
 
+def _write(path: str, number: int, post: DataFrame, lengths: DataFrame) -> None:
+    post.write.mode("overwrite").parquet(f"{path}/v={number}/postings")
+    lengths.write.mode("overwrite").parquet(f"{path}/v={number}/doc_len")
+    post.sparkSession.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{path}/v={number}/done")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions of an index that are whole."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,9 +55,25 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def current_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_len) of the latest version."""
-    last = max(versions(spark, path))
-    return spark.read.parquet(f"{path}/v={last}/postings"), spark.read.parquet(f"{path}/v={last}/doc_len")
+    """(postings, doc_len): each document as its latest version has it."""
+    whole = versions(spark, path)
+    read = lambda name: reduce(DataFrame.unionByName, (spark.read.parquet(f"{path}/v={v}/{name}").withColumn("v", F.lit(v)) for v in whole))
+    latest = read("doc_len").groupBy("doc_id").agg(F.max_by("dl", "v").alias("dl"), F.max("v").alias("v"))
+    return read("postings").join(latest.select("doc_id", "v"), ["doc_id", "v"], "left_semi").drop("v"), latest.select("doc_id", "dl")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Writes what all versions say as the latest of them and removes the others;
+    between batches only. What a broken run has merged is whole under ``merged``."""
+    whole = versions(spark, path)
+    post, lengths = current_index(spark, path)
+    _write(f"{path}/merged", whole[-1], post, lengths)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for v in whole:
+        fs.delete(hadoop(f"{path}/v={v}"), True)
+    fs.rename(hadoop(f"{path}/merged/v={whole[-1]}"), hadoop(f"{path}/v={whole[-1]}"))
+    fs.delete(hadoop(f"{path}/merged"), True)
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:

@@ -266,6 +266,10 @@ def test_stream_upserts_replace_documents(spark, tmp_path):
     post, lengths = ingest.current_index(spark, index)
     assert sorted((r.term, r.doc_id) for r in post.collect()) == [("alpha", 2), ("gamma", 1)]
     assert {r.doc_id: r.dl for r in lengths.collect()} == {1: 1, 2: 1}
+    assert len(ingest.versions(spark, index)) == 2
+    ingest.compact(spark, index)
+    post, _ = ingest.current_index(spark, index)
+    assert sorted((r.term, r.doc_id) for r in post.collect()) == [("alpha", 2), ("gamma", 1)] and len(ingest.versions(spark, index)) == 1
 
 
 def test_stateful_token_bucket(spark, tmp_path):
