@@ -10,9 +10,10 @@ an anchor that occurs twice are extended to the full length and compared by
 
 Documents are dealt to groups by their id. Everything exchanged is packed by
 (bucket of the hash, group) and distinct within the group: a passage in a third
-of all documents is one entry per group, never one per copy. An answer goes
-back to the groups that asked. Texts are exchanged once; the three passes over
-a group read that one exchange.
+of all documents is one entry per group, never one per copy. The answer to a
+group is one bit for each entry that it asked about, in the order in which it
+asked; the group finds that order again. Texts are exchanged once; the three
+passes over a group read that one exchange.
 
 Defined cases: a null text has no words; texts shorter than a window lose
 nothing; rows that repeat an id are ordered by their texts, and of equal rows
@@ -39,7 +40,7 @@ GROUP_BYTES = 6 << 20
 LAST = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 ASKED = "bucket int, grp int, hashes binary, more binary, docs binary"
-TOLD = "grp int, hashes binary, more binary"
+TOLD = "grp int, bucket int, kind int, bits binary"
 
 
 class Group:
@@ -68,10 +69,11 @@ class Group:
         use = cover[(at - words.first[doc]) % PERIOD] & (words.counts[doc] >= self.length)
         return key[use], at[use]
 
-    def candidates(self, twice: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold an anchor which occurs twice here or is in ``twice``."""
+    def candidates(self, buckets: int, told: pa.Table) -> np.ndarray:
+        """Starts of the windows that hold an anchor which occurs twice here or, as ``told``, in another group too."""
         key, at = self.anchors()
-        hit = np.isin(key, twice)
+        asked, which = np.unique(key, return_inverse=True)
+        hit = _answered(asked, buckets, told, 0)[which] if len(key) else np.zeros(0, bool)
         hit[W.repeated(key)] = True
         words = self.words
         near = np.zeros(len(words) + 1, bool)
@@ -94,19 +96,35 @@ class Group:
         return out[0], out[1]
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first index of each (a, b), in the order of a, and for each pair whether it came up before."""
+def _classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first index of each (a, b), in their order, and the class of each pair."""
     order = np.lexsort((b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-    again = np.ones(len(a), bool)
-    again[order[new]] = False  # lexsort is stable, so the first of a pair is the first in the text
-    return order[new], again
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which  # lexsort is stable, so the first of a class is the first in the text
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket is a range of hashes."""
+    return ((hashes >> W.U64(32)) * W.U64(buckets) >> W.U64(32)).astype(np.int32)
+
+
+def _answered(asked: np.ndarray, buckets: int, told: pa.Table, kind: int) -> np.ndarray:
+    """The bits that came back for sorted hashes that were asked about."""
+    bucket = _bucket(asked, buckets)
+    out = np.zeros(len(asked), bool)
+    for b, k, bits in zip(*(told.column(c).to_pylist() for c in ("bucket", "kind", "bits")), strict=True):
+        if k == kind:
+            first, last = np.searchsorted(bucket, [b, b + 1])
+            out[first:last] = np.unpackbits(np.frombuffer(bits, np.uint8), count=last - first).astype(bool)
+    return out
 
 
 def _packed(grp: int, hashes: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
-    """Rows by bucket of what is sorted by hash; a bucket is a range of hashes."""
-    bucket = ((hashes >> W.U64(32)) * W.U64(buckets) >> W.U64(32)).astype(np.int32)
+    """Rows by bucket of what is sorted by hash."""
+    bucket = _bucket(hashes, buckets)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(hashes) else np.zeros(0, np.int64)
     bounds = np.r_[first, len(hashes)]
     cut = lambda x: pa.array([_planes(x[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
@@ -127,72 +145,63 @@ def _joined(table: pa.Table, name: str) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(parts)).view(W.U64).ravel() if parts else np.zeros(0, W.U64)
 
 
-def _told(grp: np.ndarray, *hashes: np.ndarray) -> pa.Table:
-    """One row for each group that is told something."""
-    order = np.argsort(grp, kind="stable")
-    grp = grp[order]
-    first = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, np.int64)
-    bounds = np.r_[first, len(grp)]
-    cut = [pa.array([_planes(h[order][a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for h in hashes]
-    cut += [pa.nulls(len(first), pa.binary())] * (2 - len(cut))
-    return pa.table([pa.array(grp[first], pa.int32()), *cut], names=["grp", "hashes", "more"])
+def _told(table: pa.Table, marked: np.ndarray, kind: int) -> pa.Table:
+    """For each row that asked: which of its entries are marked; rows without any get no answer."""
+    bounds = np.cumsum([0, *(len(x.as_py()) // 8 for x in table.column("hashes"))])
+    rows = [i for i in range(table.num_rows) if marked[bounds[i] : bounds[i + 1]].any()]
+    bits = [np.packbits(marked[bounds[i] : bounds[i + 1]]).tobytes() for i in rows]
+    own = table.select(["grp", "bucket"]).take(pa.array(rows, pa.int64()))
+    return pa.table([own.column("grp"), own.column("bucket"), pa.array(np.full(len(rows), kind, np.int32)), pa.array(bits, pa.binary())], names=["grp", "bucket", "kind", "bits"])
+
 
+def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """One row per document: words, words removed, and the digest of those kept.
 
-def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: words, words removed, and the digest of those kept."""
-    n = groups_for(docs, GROUP_BYTES, text_col)
+    ``group_bytes``: scanned bytes of a group; a worker needs some 40 times as much memory."""
+    n = groups_for(docs, group_bytes, text_col)
+    buckets = max(8, n // 4)  # fewer than groups, so that a group's entries for a bucket are worth a row
     dealt = texts_of(docs, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         hashes, _ = Group(table, length).anchors()
-        return _packed(key[0].as_py(), np.unique(hashes), n)
+        return _packed(key[0].as_py(), np.unique(hashes), buckets)
 
     def shared(table: pa.Table) -> pa.Table:
-        """Anchors that two groups have, for each of them."""
+        """Anchors that two groups have."""
         hashes = _joined(table, "hashes")
-        grp = np.repeat(np.asarray(table.column("grp").combine_chunks()), [len(x.as_py()) // 8 for x in table.column("hashes")])
-        at = W.repeated(hashes)
-        return _told(grp[at], hashes[at])
+        marked = np.zeros(len(hashes), bool)
+        marked[W.repeated(hashes)] = True
+        return _told(table, marked, 0)
 
     def extend(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(table, length)
-        start = group.candidates(_joined(told, "hashes"))
+        start = group.candidates(buckets, told)
         a, b = group.windows(start)
-        first, _ = _distinct(a, b)
-        return _packed(key[0].as_py(), a[first], n, b[first], group.keys[group.words.doc[start[first]]])
+        first, _ = _classes(a, b)
+        return _packed(key[0].as_py(), a[first], buckets, b[first], group.keys[group.words.doc[start[first]]])
 
     def later(table: pa.Table) -> pa.Table:
-        """Windows that another group has in an earlier document, for each group that is later."""
+        """Windows that another group has in an earlier document."""
         a, b = _joined(table, "hashes"), _joined(table, "more")
         doc = _joined(table, "docs").view(np.int64)
-        grp = np.repeat(np.asarray(table.column("grp").combine_chunks()), [len(x.as_py()) // 8 for x in table.column("hashes")])
         at = W.repeated(a)
         at = at[np.lexsort((doc[at], b[at], a[at]))]
         again = np.zeros(len(at), bool)
         again[1:] = (a[at[1:]] == a[at[:-1]]) & (b[at[1:]] == b[at[:-1]])
-        at = at[again]
-        return _told(grp[at], a[at], b[at])
+        marked = np.zeros(len(a), bool)
+        marked[at[again]] = True
+        return _told(table, marked, 1)
 
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(table, length)
         words = group.words
-        kinds = told.column("more").is_null() if told.num_rows else pa.chunked_array([pa.array([], pa.bool_())])
-        start = group.candidates(_joined(told.filter(kinds), "hashes"))
+        start = group.candidates(buckets, told)
         a, b = group.windows(start)
-        _, again = _distinct(a, b)
-        other = told.filter(pa.compute.invert(kinds))
-        x, y = _joined(other, "hashes"), _joined(other, "more")
-        if len(x):
-            order = np.argsort(x)
-            x, y = x[order], y[order]
-            spot = np.minimum(np.searchsorted(x, a), len(x) - 1)
-            # Of windows that agree in the first hash only, each is looked at.
-            while True:
-                again |= (x[spot] == a) & (y[spot] == b)
-                up = np.minimum(spot + 1, len(x) - 1)
-                if not ((x[up] == a) & (up != spot)).any():
-                    break
-                spot = np.where(x[up] == a, up, spot)
+        first, which = _classes(a, b)
+        again = _answered(a[first], buckets, told, 1)[which]
+        repeats = np.ones(len(start), bool)
+        repeats[first] = False
+        again |= repeats
         gone = W.covered(len(words), start[again], length)
         removed = W.per_text(gone, words.first)
         digests = []
@@ -204,8 +213,9 @@ def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id",
         return pa.table([group.ids, pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     # As many partitions as groups: a task's share does not grow with the input.
-    by = lambda df, key: df.repartition(n, key).groupBy(key)
-    groups = by(dealt, "grp")
-    anchors = by(groups.applyInArrow(ask, ASKED), "bucket").applyInArrow(shared, TOLD)
-    windows = by(groups.cogroup(by(anchors, "grp")).applyInArrow(extend, ASKED), "bucket").applyInArrow(later, TOLD)
-    return groups.cogroup(by(anchors.unionByName(windows), "grp")).applyInArrow(remove, SCHEMA)
+    by_group = lambda df: df.repartition(n, "grp").groupBy("grp")
+    by_bucket = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    groups = by_group(dealt)
+    anchors = by_bucket(groups.applyInArrow(ask, ASKED)).applyInArrow(shared, TOLD)
+    windows = by_bucket(groups.cogroup(by_group(anchors)).applyInArrow(extend, ASKED)).applyInArrow(later, TOLD)
+    return groups.cogroup(by_group(anchors.unionByName(windows))).applyInArrow(remove, SCHEMA)
