@@ -11,6 +11,13 @@ Colliding fingerprints are verified by their Hamming distance. Links of a task
 are reduced to a spanning forest before they are exchanged; components are
 found by :mod:`.components`.
 
+:func:`near_duplicates` links fingerprints of word shingles as they are.
+:func:`similar_texts` is for dropping documents: to find texts whose five-word
+shingles have a similarity of 0.8, which differ in more bits than a ball
+reaches, it takes four fingerprints of the distinct words, links each text to
+the earliest text that a variant shares, and verifies links by a sketch of the
+shingles, so that unlike texts with like words stay apart.
+
 Hot groups: exact copies share a fingerprint, which is taken once; parts of
 the variants' space with many fingerprints are split by further bits inside
 the task, so its memory is bounded; links per task number fewer than its
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ._runtime import durable, texts_of
 from .components import connected_components
-from .words import U64, slices, buffer_of
+from .words import U64, buffer_of, mix, slices
 
 BITS = 64
 #: Variants that are sorted together, and texts' bytes that are hashed together.
@@ -165,50 +172,82 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, radi
                 yield p, q
 
 
-def links(distinct: DataFrame, radius: int = 4, count: int | None = None) -> DataFrame:
-    """(src, dst) between fingerprints at most ``radius`` bits apart that
-    connect all that are linked; ``distinct`` has the column fp, without repeats."""
+def _leading_bits(n: int, half: int, least: int) -> int:
+    """Leading bits for n fingerprints: parts of a few million variants each."""
+    return min(40, max(least, math.ceil(math.log2(max(1, n) * variants_of(BITS, half) / VARIANTS_AT_ONCE))))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit words, all first bytes before all second ones; like bytes of ids are compressed by the exchange."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _words(parts: list[bytes]) -> np.ndarray:
+    rows = [np.frombuffer(x, np.uint8).reshape(8, -1).T for x in parts]
+    return np.ascontiguousarray(np.concatenate(rows)).view(U64).ravel()
+
+
+def _dealt(fp: np.ndarray, node: np.ndarray, trial: int, lead: int, flips: np.ndarray) -> pa.RecordBatch:
+    """By leading part: the fingerprints that have a variant in it, and their nodes."""
+    part = ((fp >> U64(BITS - lead))[:, None] ^ flips[None, :]).ravel()
+    who = np.repeat(np.arange(len(fp)), len(flips))
+    order = np.argsort(part, kind="stable")
+    part, who = part[order], who[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
+    cut = lambda x: pa.array([_planes(x[who[a:b]]) for a, b in spans], pa.binary())
+    keys = part[first].view(np.int64) * np.int64(64) + trial
+    return pa.RecordBatch.from_arrays([pa.array(keys), cut(fp), cut(node)], names=["part", "fps", "nodes"])
+
+
+def _meetings(marked: DataFrame, trials: int, radius: int, count: int, least_lead: int, meet) -> DataFrame:
+    """(src, dst): what ``meet`` makes of each leading part of each trial of
+    ``marked`` (node long, fps array<long>); it gets fingerprints, nodes, a
+    generator of pairs of indexes that share a variant, and a test of which
+    variants begin with the leading part."""
     half = radius // 2
-    n = distinct.count() if count is None else count
-    # Leading bits: parts of a few million variants each, at least 4096 parts.
-    lead = min(40, max(12, math.ceil(math.log2(max(1, n) * variants_of(BITS, half) / VARIANTS_AT_ONCE))))
-    flips = np.concatenate(masks(lead, half))
-    rest = BITS - lead
-    spark = distinct.sparkSession
-    rows = n * len(flips)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 2_000_000))
+    lead = _leading_bits(count, half, least_lead)
+    flips, rest = np.concatenate(masks(lead, half)), BITS - lead
+    rows = count * len(flips) * trials
+    parts = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 2_000_000))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray(batch.column("fp")).view(U64)
-            for a in range(0, len(fp), 4096):
-                own = fp[a : a + 4096]
-                part = ((own >> U64(rest))[:, None] ^ flips[None, :]).ravel()
-                who = np.repeat(own, len(flips))
-                order = np.argsort(part, kind="stable")
-                part, who = part[order], who[order]
-                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                ends = np.r_[first[1:], len(part)]
-                data = who.tobytes()
-                packed = pa.array([data[8 * s : 8 * e] for s, e in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part[first].view(np.int64)), packed], names=["part", "fps"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[bytes]] = {}
+            node = np.asarray(batch.column("node")).view(U64)
+            flat = np.asarray(batch.column("fps").flatten()).view(U64).reshape(-1, trials)
+            for a in range(0, len(node), 4096):
+                for t in range(trials):
+                    yield _dealt(np.ascontiguousarray(flat[a : a + 4096, t]), node[a : a + 4096], t, lead, flips)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            for p, data in zip(batch.column("part").to_pylist(), batch.column("fps").to_pylist(), strict=True):
-                by_part.setdefault(p, []).append(data)
+            for p, fps, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "fps", "nodes")), strict=True):
+                by_part.setdefault(p, []).append((fps, nodes))
         for p in list(by_part):
-            fp = np.unique(np.frombuffer(b"".join(by_part.pop(p)), U64))
-            if len(fp) < 2:
-                continue
-            used = np.bitwise_count((fp >> U64(rest)) ^ U64(p)).astype(np.int64)
-            found = np.array(list(_forest(_links(fp, used, rest, half), fp, radius)), np.int64).reshape(-1, 2)
+            held = by_part.pop(p)
+            fp, node = _words([x for x, _ in held]), _words([y for _, y in held])
+            order = np.argsort(node.view(np.int64), kind="stable")  # the earliest heads each meeting
+            fp, node = fp[order], node[order]
+            used = np.bitwise_count((fp >> U64(rest)) ^ U64(p >> 6)).astype(np.int64)
+            found = meet(fp, node, _links(fp, used, rest, half), lambda v, p=p: (v >> U64(rest)) == U64(p >> 6))
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[found[:, i]].view(np.int64)) for i in (0, 1)], names=["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i].view(np.int64)) for i in (0, 1)], names=["src", "dst"])
+
+    dealt = marked.select("node", "fps").mapInArrow(deal, "part long, fps binary, nodes binary").repartition(parts, "part")
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
+def links(distinct: DataFrame, radius: int = 4, count: int | None = None) -> DataFrame:
+    """(src, dst) between fingerprints at most ``radius`` bits apart that
+    connect all that are linked; ``distinct`` has the column fp, without repeats."""
+
+    def meet(fp: np.ndarray, node: np.ndarray, pairs, here) -> np.ndarray:
+        found = np.array(list(_forest(pairs, fp, radius)), np.int64).reshape(-1, 2)
+        return node[found]
 
-    dealt = distinct.select("fp").mapInArrow(deal, "part long, fps binary").repartition(parts, "part")
-    return dealt.mapInArrow(meet, "src long, dst long")
+    own = distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps"))
+    return _meetings(own, 1, radius, distinct.count() if count is None else count, 12, meet)
 
 
 def _classes(marked: DataFrame, radius: int) -> DataFrame:
@@ -227,11 +266,130 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns: of each component the document with
-    the smallest id. Rows that repeat that id are repeats and go too; rows
-    without an id stay, for nothing names them."""
-    marked = durable(with_fingerprints(docs, shingle, seed, id_col, text_col))
-    best = _classes(marked, radius).select("component_id").distinct()
-    kept = docs.join(best, docs[id_col] == best.component_id, "left_semi")
+#: Of :func:`similar_texts`: fingerprints per text; bins of a sketch; the least share of
+#: bins that agree, one deviation of the estimate (0.02) below a similarity of 0.8.
+TRIALS = 4
+BINS = 256
+LEAST_SHARE = 0.78
+_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], U64)
+
+
+def _sketch(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One-permutation minwise sketches: by text and bin the least hash, as 16 bits; 0 for an empty bin."""
+    n = len(first) - 1
+    least = np.full((n, BINS), np.iinfo(U64).max, U64)
+    text = np.repeat(np.arange(n), np.diff(first))
+    np.minimum.at(least, (text, (h >> U64(56)).astype(np.int64)), h)
+    out = (mix(least) % U64(65535)).astype(np.uint16) + np.uint16(1)
+    out[least == np.iinfo(U64).max] = 0
+    return out
+
+
+def with_sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, same, fps, sketch): a 128-bit digest of the words, fingerprints of the distinct words, the shingles' sketch."""
+
+    def one_slice(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        same, words_h, words_at, grams_h, grams_at = [], [], [0], [], [0]
+        for text in data:
+            words = text.translate(_LOWER).split()
+            joined = b" ".join(words)
+            same.append(xxh3_128_digest(joined))
+            view = memoryview(joined)
+            words_h += [xxh64_intdigest(w, 7) for w in set(words)]
+            words_at.append(len(words_h))
+            if words:
+                ends = np.cumsum([len(w) + 1 for w in words]) - 1
+                last = ends[min(shingle, len(words)) - 1 :].tolist()
+                starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
+                grams_h += [xxh64_intdigest(view[a:b], 42) for a, b in zip(starts, last, strict=True)]
+            grams_at.append(len(grams_h))
+        h, at = np.array(words_h, U64), np.array(words_at)
+        fps = []
+        for seed in _SEEDS[:TRIALS]:
+            over = 2 * _bit_counts(mix(h ^ seed), at) > np.diff(at)[:, None]
+            fps.append((over.astype(U64) << np.arange(BITS, dtype=U64)).sum(axis=1, dtype=U64))
+        return same, np.stack(fps, axis=1), _sketch(mix(np.array(grams_h, U64)), np.array(grams_at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = buffer_of(batch.column("text"))
+            for a, b in slices(offsets, AT_ONCE):
+                same, fps, sketch = one_slice([buf[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TRIALS), pa.array(fps.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(same, pa.binary()), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    names=["doc_id", "same", "fps", "sketch"],
+                )
+
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fps array<long>, sketch binary")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches agree in enough of the bins that either fills."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("a", "b"))
+                share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+                yield batch.select(["src", "dst"]).filter(pa.array(share >= LEAST_SHARE))
+
+    both = pairs.join(sketches.select(F.col("node").alias("src"), F.col("sketch").alias("a")), "src").join(sketches.select(F.col("node").alias("dst"), F.col("sketch").alias("b")), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, fps, sketch) of each distinct sequence of words: node is the
+    smallest doc_id that has it; texts without any id are left out."""
+    marked = with_sketches(docs, shingle, id_col, text_col)
+    first = marked.groupBy("same").agg(F.min_by(F.struct("fps", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("node"))
+    return durable(first.where("node is not null").select("node", "x.fps", "x.sketch"))
+
+
+def similar_texts(own: DataFrame, radius: int = 4) -> DataFrame:
+    """(node, component) of those of :func:`distinct_texts` that have a
+    near-duplicate; a component is named by its smallest node.
+
+    In a crowd of near copies a text meets many earlier ones. Each text is first
+    compared with the earliest that it meets. Then all meetings are looked at in
+    which either text has found no earlier one like it. What is left are
+    meetings of two texts that both have a verified earlier one and so go
+    anyway; so comparisons grow with the texts, not with the square of a crowd."""
+
+    def meet(fp: np.ndarray, node: np.ndarray, pairs, here) -> np.ndarray:
+        """A pair is told once, by the part of its middle variant: the first
+        text with the lower half of their different bits flipped. There the
+        earliest that a text meets is the head, so it is never missed."""
+        found = [np.zeros((0, 2), U64)]
+        for a, b in pairs:
+            x = fp[a] ^ fp[b]
+            low = x & (~x + U64(1))
+            rest = x ^ low
+            d = np.bitwise_count(x)
+            flip = np.where(d >= 2, low, U64(0)) | np.where(d >= 4, rest & (~rest + U64(1)), U64(0))
+            own = here(fp[a] ^ flip)
+            found.append(np.stack([node[a[own]], node[b[own]]], axis=1))
+        every = np.unique(np.concatenate(found), axis=0)  # by first text; of each second text the earliest
+        _, at = np.unique(every[:, 1], return_index=True)
+        return every[at]
+
+    pairs = durable(_meetings(own, TRIALS, radius, own.count(), 9, meet).where("src < dst").distinct())
+    first = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    sure = durable(_alike(first, own))
+    found = sure.select("dst").distinct()
+    loose = pairs.join(found, "dst", "left_anti").select("src", "dst").union(pairs.join(found.withColumnRenamed("dst", "src"), "src", "left_anti").select("src", "dst"))
+    rest = loose.distinct().join(first, ["src", "dst"], "left_anti")
+    return connected_components(sure.union(_alike(rest, own)))
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: of each group of :func:`similar_texts`
+    the document with the smallest id. Rows that repeat that id are repeats and
+    go too; rows without an id stay, for nothing names them."""
+    own = distinct_texts(docs, shingle, id_col, text_col)
+    gone = similar_texts(own, radius).where("node != component").select("node")
+    best = own.select("node").join(gone, "node", "left_anti")
+    kept = docs.join(best, docs[id_col] == best.node, "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
