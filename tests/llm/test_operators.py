@@ -388,6 +388,30 @@ def test_near_dedup_keeps_one_of_each(docs):
     assert out.where("doc_id is null").count() == 1
 
 
+def test_near_texts_are_found_and_others_left(spark):
+    """Edited copies 0.8 alike or more go, also of a text that many copy; half copies and strangers stay."""
+    rng = random.Random(12)
+    vocabulary = [f"t{i}" for i in range(3000)] + ["the", "of", "and"] * 300
+    texts, near, far = {}, [], []
+    for base in range(12):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        texts[base * 100] = words
+        for k in range(1, 30 if base == 0 else 4):
+            own = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                own[rng.randrange(len(own))] = "edit"
+            texts[base * 100 + k] = own
+            grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, own)]
+            if len(grams[0] & grams[1]) >= 0.82 * len(grams[0] | grams[1]):
+                near.append(base * 100 + k)
+        texts[base * 100 + 50] = words[: len(words) // 2] + [rng.choice(vocabulary) for _ in range(len(words) // 2)]
+        far += [base * 100, base * 100 + 50]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert set(far) <= kept
+    assert len(kept & set(near)) <= 0.03 * len(near)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5000, 5001), (5001, 5002), (5002, 5000), (7, 7), (None, 3)]
     got = dict(rows(components.connected_components(spark.createDataFrame(edges, "src long, dst long"))))
