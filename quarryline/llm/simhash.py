@@ -12,11 +12,10 @@ are reduced to a spanning forest before they are exchanged; components are
 found by :mod:`.components`.
 
 :func:`near_duplicates` links fingerprints of word shingles as they are.
-:func:`similar_texts` is for dropping documents: to find texts whose five-word
-shingles have a similarity of 0.8, which differ in more bits than a ball
-reaches, it takes four fingerprints of the distinct words, links each text to
-the earliest text that a variant shares, and verifies links by a sketch of the
-shingles, so that unlike texts with like words stay apart.
+:func:`similar_texts` is for dropping documents whose five-word shingles have a
+similarity of 0.8, which differ in more bits than a ball reaches: texts that
+share a band of least shingle hashes are candidates, and all texts that bands
+connect are compared by their whole sets of shingles.
 
 Hot groups: exact copies share a fingerprint, which is taken once; parts of
 the variants' space with many fingerprints are split by further bits inside
@@ -39,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._runtime import durable, texts_of
 from .components import connected_components
@@ -266,130 +266,198 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of :func:`similar_texts`: fingerprints per text; bins of a sketch; the least share of
-#: bins that agree, one deviation of the estimate (0.02) below a similarity of 0.8.
-TRIALS = 4
-BINS = 256
-LEAST_SHARE = 0.78
-_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], U64)
+#: Of :func:`similar_texts`: the least similarity, as a fraction of whole numbers, so that it is decided exactly;
+#: bands of a text and least hashes in each. Two texts 0.8 alike share no band with probability (1 - 0.8**7)**48, 1 in 80,000.
+ALIKE = (4, 5)
+BANDS = 48
+ROWS = 7
+#: Texts of a group that are compared in one task, the most blocks of them in a larger one, and shingles that are compared at once.
+BLOCK = 128
+BLOCKS = 24
+COLUMNS = 1 << 13
+_RNG = np.random.default_rng(11)
+_FLIPS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_FACTORS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
-def _sketch(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One-permutation minwise sketches: by text and bin the least hash, as 16 bits; 0 for an empty bin."""
-    n = len(first) - 1
-    least = np.full((n, BINS), np.iinfo(U64).max, U64)
-    text = np.repeat(np.arange(n), np.diff(first))
-    np.minimum.at(least, (text, (h >> U64(56)).astype(np.int64)), h)
-    out = (mix(least) % U64(65535)).astype(np.uint16) + np.uint16(1)
-    out[least == np.iinfo(U64).max] = 0
+def _digest(joined: bytes) -> int:
+    """64 bits that stand for a sequence of words, as a signed long."""
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(joined, 5) - (1 << 63)
+
+
+def _shingles(joined: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of words joined by blanks; of all words where they are fewer, and one for no words."""
+    from xxhash import xxh64_intdigest
+
+    ends = np.r_[np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined)]
+    last = ends[min(shingle, len(ends)) - 1 :].tolist()
+    starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    view = memoryview(joined)
+    return np.array([xxh64_intdigest(view[a:b], 42) for a, b in zip(starts, last, strict=True)], U64)
+
+
+def _joined(text: bytes) -> bytes:
+    return b" ".join(text.translate(_LOWER).split())
+
+
+def _bands(grams: list[np.ndarray]) -> np.ndarray:
+    """By text and band: a hash of the band's least hashes."""
+    first = np.cumsum([0, *map(len, grams)])[:-1]
+    x = (mix(np.concatenate(grams)) >> U64(32)).astype(np.uint32)
+    out = np.zeros((len(grams), BANDS), U64)
+    for k, (flip, factor) in enumerate(zip(_FLIPS, _FACTORS, strict=True)):
+        least = np.minimum.reduceat((x ^ flip) * factor, first)
+        out[:, k // ROWS] = mix(out[:, k // ROWS] * U64(0x9E3779B97F4A7C15) + least + U64(k + 1))
     return out
 
 
-def with_sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, same, fps, sketch): a 128-bit digest of the words, fingerprints of the distinct words, the shingles' sketch."""
-
-    def one_slice(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        from xxhash import xxh3_128_digest, xxh64_intdigest
-
-        same, words_h, words_at, grams_h, grams_at = [], [], [0], [], [0]
-        for text in data:
-            words = text.translate(_LOWER).split()
-            joined = b" ".join(words)
-            same.append(xxh3_128_digest(joined))
-            view = memoryview(joined)
-            words_h += [xxh64_intdigest(w, 7) for w in set(words)]
-            words_at.append(len(words_h))
-            if words:
-                ends = np.cumsum([len(w) + 1 for w in words]) - 1
-                last = ends[min(shingle, len(words)) - 1 :].tolist()
-                starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
-                grams_h += [xxh64_intdigest(view[a:b], 42) for a, b in zip(starts, last, strict=True)]
-            grams_at.append(len(grams_h))
-        h, at = np.array(words_h, U64), np.array(words_at)
-        fps = []
-        for seed in _SEEDS[:TRIALS]:
-            over = 2 * _bit_counts(mix(h ^ seed), at) > np.diff(at)[:, None]
-            fps.append((over.astype(U64) << np.arange(BITS, dtype=U64)).sum(axis=1, dtype=U64))
-        return same, np.stack(fps, axis=1), _sketch(mix(np.array(grams_h, U64)), np.array(grams_at))
+def with_bands(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, bands): node stands for the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = buffer_of(batch.column("text"))
             for a, b in slices(offsets, AT_ONCE):
-                same, fps, sketch = one_slice([buf[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * TRIALS), pa.array(fps.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(same, pa.binary()), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    names=["doc_id", "same", "fps", "sketch"],
-                )
+                texts = [_joined(buf[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
+                bands = _bands([_shingles(t, shingle) for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([_digest(t) for t in texts], pa.int64()), lists], names=["doc_id", "node", "bands"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fps array<long>, sketch binary")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, bands array<long>")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree in enough of the bins that either fills."""
+def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, least, bands) of each distinct sequence of words: least is the
+    smallest doc_id that has it; texts without any id are left out."""
+    marked = with_bands(docs, shingle, id_col, text_col).where("doc_id is not null")
+    return durable(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("a", "b"))
-                share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
-                yield batch.select(["src", "dst"]).filter(pa.array(share >= LEAST_SHARE))
 
-    both = pairs.join(sketches.select(F.col("node").alias("src"), F.col("sketch").alias("a")), "src").join(sketches.select(F.col("node").alias("dst"), F.col("sketch").alias("b")), "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+def _stars(own: DataFrame) -> DataFrame:
+    """(src, dst): each text of a band with the band's smallest node."""
+    rows = own.count() * BANDS
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 2_000_000))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.array(b.column("band")), np.array(b.column("node"))) for b in batches if b.num_rows]
+        if held:
+            band, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((node, band))
+            band, node = band[order], node[order]
+            new = np.r_[True, band[1:] != band[:-1]]
+            head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+            found = np.unique(np.stack([head[~new], node[~new]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["src", "dst"])
+
+    return own.select("node", F.explode("bands").alias("band")).repartition(parts, "band").mapInArrow(run, "src long, dst long")
+
+
+def _alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """By text of a and of b, sets of shingles: whether they are alike."""
+    sets = [*a, *b]
+    sizes = np.array([len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(len(sets)), sizes)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    text, at = text[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    text, at = text[order], at[order]
+    both = np.zeros((len(a), len(b)))
+    for low in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(at, [low, low + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+        has[text[i:j], at[i:j] - low] = 1
+        both += has[: len(a)] @ has[len(a) :].T
+    up, down = ALIKE
+    return both * (up + down) >= up * (sizes[: len(a), None] + sizes[None, len(a) :])
+
+
+def _exact_forest(grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that are alike; only pairs that are connected already are not compared."""
+    root = np.arange(len(grams))
+    spans = [range(i, min(i + BLOCK, len(grams))) for i in range(0, len(grams), BLOCK)]
+    for k, p in enumerate(spans):
+        for q in spans[k:]:
+            if len(np.unique(root[[*p, *q]])) == 1:
+                continue
+            for i, j in np.argwhere(_alike([grams[i] for i in p], [grams[j] for j in q])).tolist():
+                x, y = root[p[i]], root[q[j]]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    yield p[i], q[j]
+
+
+def _verified(docs: DataFrame, own: DataFrame, loose: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(src, dst): a spanning forest of the alike pairs of each component of
+    ``loose``. All texts of a component are compared; a large one is cut into
+    blocks and each two blocks meet in a task."""
+    sizes = loose.groupBy("component").count()
+    counts = {r.component: r["count"] for r in sizes.where(F.col("count") > BLOCK).collect()}
+    large = {c: min(BLOCKS, math.ceil(n / BLOCK)) for c, n in counts.items()}
+    rows = loose.count() + sum(n * large[c] for c, n in counts.items())
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 4000))
+    named = loose.join(own.select("node", "least"), "node")
+    texts = texts_of(docs, id_col, text_col).join(named, F.col("doc_id") == F.col("least")).select("node", "component", "text")
 
-def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, fps, sketch) of each distinct sequence of words: node is the
-    smallest doc_id that has it; texts without any id are left out."""
-    marked = with_sketches(docs, shingle, id_col, text_col)
-    first = marked.groupBy("same").agg(F.min_by(F.struct("fps", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("node"))
-    return durable(first.where("node is not null").select("node", "x.fps", "x.sketch"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, component, text in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "text")), strict=True):
+                joined = _joined(text.encode())
+                if _digest(joined) == node:  # not another text of the same id
+                    grams = np.unique(_shingles(joined, shingle)).tobytes()
+                    n = large.get(component, 1)
+                    i = node % n
+                    out += [(component, min(i, j) * n + max(i, j), node, grams) for j in range(n) if j != i or n == 1]
+            for k in range(0, len(out), 1000):
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out[k : k + 1000], strict=True), kinds, strict=True)], names=["component", "block", "node", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[int, int], dict[int, bytes]] = {}
+        for batch in batches:
+            for component, block, node, grams in zip(*(batch.column(c).to_pylist() for c in ("component", "block", "node", "grams")), strict=True):
+                groups.setdefault((component, block), {})[node] = grams
+        for key in list(groups):
+            group = sorted(groups.pop(key).items())
+            found = list(_exact_forest([np.frombuffer(x, U64) for _, x in group]))
+            yield pa.RecordBatch.from_arrays([pa.array([group[pair[i]][0] for pair in found], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+    dealt = texts.mapInArrow(deal, "component long, block long, node long, grams binary").repartition(parts, "component", "block")
+    return dealt.mapInArrow(run, "src long, dst long")
 
 
-def similar_texts(own: DataFrame, radius: int = 4) -> DataFrame:
+def similar_texts(docs: DataFrame, own: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of those of :func:`distinct_texts` that have a
-    near-duplicate; a component is named by its smallest node.
+    near-duplicate; a component is named by one of its nodes.
 
-    In a crowd of near copies a text meets many earlier ones. Each text is first
-    compared with the earliest that it meets. Then all meetings are looked at in
-    which either text has found no earlier one like it. What is left are
-    meetings of two texts that both have a verified earlier one and so go
-    anyway; so comparisons grow with the texts, not with the square of a crowd."""
+    Texts that share a band, directly or by others, are compared with one another by all of their
+    shingles; so which text of a band comes first decides nothing, and a link
+    between two groups is found whatever else is linked."""
+    loose = durable(connected_components(_stars(own)))
+    return connected_components(_verified(docs, own, loose, shingle, id_col, text_col))
 
-    def meet(fp: np.ndarray, node: np.ndarray, pairs, here) -> np.ndarray:
-        """A pair is told once, by the part of its middle variant: the first
-        text with the lower half of their different bits flipped. There the
-        earliest that a text meets is the head, so it is never missed."""
-        found = [np.zeros((0, 2), U64)]
-        for a, b in pairs:
-            x = fp[a] ^ fp[b]
-            low = x & (~x + U64(1))
-            rest = x ^ low
-            d = np.bitwise_count(x)
-            flip = np.where(d >= 2, low, U64(0)) | np.where(d >= 4, rest & (~rest + U64(1)), U64(0))
-            own = here(fp[a] ^ flip)
-            found.append(np.stack([node[a[own]], node[b[own]]], axis=1))
-        every = np.unique(np.concatenate(found), axis=0)  # by first text; of each second text the earliest
-        _, at = np.unique(every[:, 1], return_index=True)
-        return every[at]
-
-    pairs = durable(_meetings(own, TRIALS, radius, own.count(), 9, meet).where("src < dst").distinct())
-    first = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
-    sure = durable(_alike(first, own))
-    found = sure.select("dst").distinct()
-    loose = pairs.join(found, "dst", "left_anti").select("src", "dst").union(pairs.join(found.withColumnRenamed("dst", "src"), "src", "left_anti").select("src", "dst"))
-    rest = loose.distinct().join(first, ["src", "dst"], "left_anti")
-    return connected_components(sure.union(_alike(rest, own)))
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns: of each group of :func:`similar_texts`
-    the document with the smallest id. Rows that repeat that id are repeats and
-    go too; rows without an id stay, for nothing names them."""
+    the text with the smallest id. Rows that repeat its id and words are repeats
+    and go too; rows without an id stay, for nothing names them."""
     own = distinct_texts(docs, shingle, id_col, text_col)
-    gone = similar_texts(own, radius).where("node != component").select("node")
-    best = own.select("node").join(gone, "node", "left_anti")
-    kept = docs.join(best, docs[id_col] == best.node, "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = durable(similar_texts(docs, own, shingle, id_col, text_col).join(own.select("node", "least"), "node"))
+    first = found.groupBy("component").agg(F.min(F.struct("least", "node")).node.alias("node"))
+    gone = found.join(first, "node", "left_anti").select("node")
+    best = own.select("node", "least").join(gone, "node", "left_anti")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = buffer_of(batch.column(text_col))
+            nodes = [_digest(_joined(buf[offsets[i] : offsets[i + 1]].tobytes())) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    kept = named.join(best, (named[id_col] == best.least) & (named._node == best.node), "left_semi")
+    return kept.dropDuplicates([id_col, "_node"]).drop("_node").unionByName(docs.where(F.col(id_col).isNull()))
