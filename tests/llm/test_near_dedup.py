@@ -42,3 +42,18 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
             own[rng.randrange(150)] = f"f{k}"
         texts[k] = own
     assert kept(spark, texts) == firsts(texts)
+
+
+def test_appended_and_cut_copies_go(spark):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    weights = [1 / (i + 1) for i in range(4000)]
+    texts = {}
+    for k in range(60):
+        words = rng.choices(vocabulary, weights, k=rng.randint(60, 500))
+        texts[10 * k] = words
+        for i, share in enumerate((0.1, 0.15, 0.2), 1):
+            texts[10 * k + i] = words + rng.choices(vocabulary, weights, k=int(share * len(words)))
+        texts[10 * k + 4] = words[: int(0.9 * len(words))]
+    want = firsts(texts)
+    assert kept(spark, texts) == want and len(want) < 100
