@@ -57,3 +57,13 @@ def test_appended_and_cut_copies_go(spark):
         texts[10 * k + 4] = words[: int(0.9 * len(words))]
     want = firsts(texts)
     assert kept(spark, texts) == want and len(want) < 100
+
+
+def test_bridges_between_groups_are_found(spark):
+    """a~b, c~d and b~d are alike, a and c are not: one group, whatever the order of ids."""
+    texts = {}
+    for k in range(40):
+        words = [f"b{k}x{i}" for i in range(260)]
+        for i, at in enumerate((0, 45, 15, 30)):
+            texts[4 * k + i] = words[at : at + 200]
+    assert kept(spark, texts) == firsts(texts) == {4 * k for k in range(40)}
