@@ -10,13 +10,17 @@ sizes that fit the item, so a passage has many chances to share a key with its
 item. Each hit is verified by the exact edit distance of the whole item against
 the place in the document (bit-parallel dynamic programming).
 
+Items of fewer than ``PIECED`` words have too few windows for that. Such an item
+is cut into one piece more than it may have edits; one piece at least then stands
+unedited in the document, where pieces are looked up at every word. So none of
+these items is missed, whatever else is in the benchmark.
+
 Benchmark items are a stated query set. They are taken in blocks of a bounded
 number of bytes; a block is broadcast and every document is compared with it.
 Documents are neither exchanged nor joined.
 
 Defined cases: null texts count as empty; items without words match nothing;
-items shorter than the smallest window are searched by windows of their own
-size; repeated rows each get their rows; null ids stay null; other columns are
+repeated rows each get their rows; null ids stay null; other columns are
 ignored by :func:`find_leaks` and kept by :func:`drop_leaks`.
 """
 
@@ -39,6 +43,8 @@ from ._runtime import texts_of
 SIMILARITY = 0.8
 SIZES = (8, 16, 32)
 STRIDE = 4
+#: Items of fewer words are searched by unedited pieces.
+PIECED = 24
 STEPS = 64
 REPETITIONS = 4
 #: Steps sampled for a key, by window size (others: all but few).
@@ -90,8 +96,8 @@ class Queries:
         self.items = [x for x in self.items if x[1]]
         self.allowed = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
         rng = np.random.default_rng(seed)
-        lengths = {len(w) for _, w in self.items}
-        self.sizes = sorted({s for s in SIZES if any(n >= s for n in lengths)} | {n for n in lengths if n < SIZES[0]})
+        longest = max([0, *(len(w) for _, w in self.items)])
+        self.sizes = [s for s in SIZES if longest >= max(s, PIECED)]
         self.masks, self.steps, self.tables = [], [], []
         for _ in range(REPETITIONS):
             mask = rng.integers(0, 1 << 64, self.end + 1, dtype=W.U64)
@@ -125,22 +131,47 @@ class Queries:
             at += ((bits[at] >> W.U64(j)) & W.U64(1)).astype(np.int64)
         return out
 
+    def piece_keys(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x where n words of the vocabulary begin, and the keys of these words."""
+        m = max(0, len(x) - n + 1)
+        inside = (x > 0) & (x < self.end)
+        at = np.flatnonzero(np.logical_and.reduce([inside[i : i + m] for i in range(n)]))
+        key = np.zeros(len(at), W.U64)
+        for i in range(n):
+            key = (key + x[at + i].astype(W.U64) + W.U64(1)) * MULTIPLIER
+            key ^= key >> W.U64(29)
+        return at, key
+
+    @staticmethod
+    def _table(key: np.ndarray, fits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        table = np.zeros(1 << 20, bool)
+        table[(key >> W.U64(44)).astype(np.int64)] = True
+        return table, key[order], np.array(fits, np.int64).reshape(-1, 2)[order]
+
     def _index(self) -> None:
-        """By repetition and size: a bit table and the sorted keys with (item, offset) of the items' windows."""
+        """By repetition and size, and by size of pieces: a bit table and the sorted keys with (item, offset)."""
         flat = np.array([w for _, ids in self.items for w in [*ids, self.end]] or [self.end], np.int64)
         begin = np.cumsum([0, *(len(ids) + 1 for _, ids in self.items)])[:-1]
         for t in range(REPETITIONS):
             tables = {}
             for s in self.sizes:
-                fits = [(i, o) for i, (_, ids) in enumerate(self.items) if (len(ids) >= s if s in SIZES else len(ids) == s) for o in range(len(ids) - s + 1)]
+                fits = [(i, o) for i, (_, ids) in enumerate(self.items) if len(ids) >= max(s, PIECED) for o in range(len(ids) - s + 1)]
                 start = np.array([begin[i] + o for i, o in fits], np.int64)
-                key = self.keys(flat, start, t)[s]
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                table = np.zeros(1 << 20, bool)
-                table[(key >> W.U64(44)).astype(np.int64)] = True
-                tables[s] = (table, key, np.array(fits, np.int64).reshape(-1, 2)[order])
+                tables[s] = self._table(self.keys(flat, start, t)[s], fits)
             self.tables.append(tables)
+        cuts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, ids) in enumerate(self.items):
+            if len(ids) < PIECED:
+                n = min(self.allowed[i] + 1, len(ids))
+                ends = [len(ids) * k // n for k in range(n + 1)]
+                for a, b in zip(ends, ends[1:], strict=False):
+                    cuts[b - a].append((i, a))
+        self.pieces = {}
+        for n, fits in sorted(cuts.items()):
+            words = np.array([w for i, o in fits for w in self.items[i][1][o : o + n]], np.int64)
+            at, key = self.piece_keys(words, n)
+            self.pieces[n] = self._table(key[at % n == 0], fits)
 
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, first word) of verified items, the best place of each."""
@@ -159,31 +190,36 @@ class Queries:
         x[place] = ids
         within = np.arange(len(ids)) - words.first[words.doc]
         own = np.flatnonzero(within % STRIDE == 0)
-        # Items below the stride could lie between two starts; for them all words begin a window.
-        if any(s < 2 * STRIDE for s in self.sizes if s not in SIZES):
-            own = np.arange(len(ids))
         start = place[own]
+        at_word = np.cumsum(x != self.end) - 1
+
+        def probes():
+            for t in range(REPETITIONS if self.sizes else 0):
+                keys = self.keys(x, start, t)
+                for s, known in self.tables[t].items():
+                    yield own, keys[s], *known
+            for n, known in self.pieces.items():
+                at, key = self.piece_keys(x, n)
+                yield at_word[at], key, *known
+
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for t in range(REPETITIONS):
-            keys = self.keys(x, start, t)
-            for s, (table, known, fits) in self.tables[t].items():
-                key = keys[s]
-                hit = np.flatnonzero(table[(key >> W.U64(44)).astype(np.int64)])
-                low, high = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
-                for h, lo, hi in zip(hit[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                    w = int(own[h])
-                    d = int(words.doc[w])
-                    first, last = int(words.first[d]), int(words.first[d + 1])
-                    for item, offset in fits[lo:hi].tolist():
-                        if best.get((d, item), (1,))[0] == 0 or (d, item, w - offset) in tried:
-                            continue
-                        tried.add((d, item, w - offset))
-                        pattern, slack = self.items[item][1], self.allowed[item]
-                        a = max(first, w - offset - slack)
-                        e, end = edits(pattern, ids[a : min(last, w - offset + len(pattern) + slack)].tolist())
-                        if e <= slack and e < best.get((d, item), (e + 1,))[0]:
-                            best[d, item] = (e, max(0, a + end - len(pattern) - first))
+        for begins, key, table, known, fits in probes():
+            hit = np.flatnonzero(table[(key >> W.U64(44)).astype(np.int64)])
+            low, high = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
+            for h, lo, hi in zip(hit[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                w = int(begins[h])
+                d = int(words.doc[w])
+                first, last = int(words.first[d]), int(words.first[d + 1])
+                for item, offset in fits[lo:hi].tolist():
+                    if best.get((d, item), (1,))[0] == 0 or (d, item, w - offset) in tried:
+                        continue
+                    tried.add((d, item, w - offset))
+                    pattern, slack = self.items[item][1], self.allowed[item]
+                    a = max(first, w - offset - slack)
+                    e, end = edits(pattern, ids[a : min(last, w - offset + len(pattern) + slack)].tolist())
+                    if e <= slack and e < best.get((d, item), (e + 1,))[0]:
+                        best[d, item] = (e, max(0, a + end - len(pattern) - first))
         return [(d, item, e, at) for (d, item), (e, at) in sorted(best.items())]
 
 
