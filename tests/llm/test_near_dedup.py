@@ -67,3 +67,15 @@ def test_bridges_between_groups_are_found(spark):
         for i, at in enumerate((0, 45, 15, 30)):
             texts[4 * k + i] = words[at : at + 200]
     assert kept(spark, texts) == firsts(texts) == {4 * k for k in range(40)}
+
+
+def test_the_threshold_is_exact(spark):
+    """Pairs of long texts between 0.74 and 0.86, by swapped tails."""
+    rng = random.Random(2)
+    texts = {}
+    for k in range(120):
+        words = [f"c{k}x{i}" for i in range(604)]
+        n = rng.randint(48, 88)
+        texts[2 * k] = words
+        texts[2 * k + 1] = [*words[:-n], *(f"d{k}x{i}" for i in range(n))]
+    assert kept(spark, texts) == firsts(texts)
