@@ -79,3 +79,12 @@ def test_the_threshold_is_exact(spark):
         texts[2 * k] = words
         texts[2 * k + 1] = [*words[:-n], *(f"d{k}x{i}" for i in range(n))]
     assert kept(spark, texts) == firsts(texts)
+
+
+def test_repeated_ids_of_unequal_texts(spark):
+    """Rows of one id with different texts are told apart; a duplicate one does not take the other along."""
+    words = [[f"g{k}x{i}" for i in range(80)] for k in range(3)]
+    rows = [(1, words[0]), (5, words[0]), (5, words[1]), (5, words[1]), (5, words[2]), (9, [*words[2][:-1], "edit"])] * 2
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    out = sorted((r.doc_id, r.text.split()[0]) for r in simhash.drop_near_duplicates(docs).collect())
+    assert out == [(1, "g0x0"), (5, "g1x0"), (5, "g2x0")]
