@@ -177,7 +177,8 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     hosts = edges(spark, d)
     every = pages(spark, d).select(U.host(F.col("url")).alias("url")).distinct()
     seeds = pages(spark, d).where("page_id = 1").select(U.host(F.col("url")).alias("url"))
-    return C.crawl(every, hosts, seeds, max_depth=4, max_pages=40)
+    n = every.count()  # budgets that cover the table
+    return C.crawl(every, hosts, seeds, max_depth=n, max_pages=n)
 
 
 @query(
