@@ -13,9 +13,9 @@ found by :mod:`.components`.
 
 :func:`near_duplicates` links fingerprints of word shingles as they are.
 :func:`similar_texts` is for dropping documents whose five-word shingles have a
-similarity of 0.8, which differ in more bits than a ball reaches: texts that
-share a band of least shingle hashes are candidates, and all texts that bands
-connect are compared by their whole sets of shingles.
+similarity of 0.8, which mostly differ in more bits than a ball reaches. So
+texts that share a band of least shingle hashes are candidates beside those of
+the balls, and candidates are compared by their whole sets of shingles.
 
 Hot groups: exact copies share a fingerprint, which is taken once; parts of
 the variants' space with many fingerprints are split by further bits inside
@@ -70,6 +70,12 @@ def _bit_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The fingerprint of each h[bounds[i]:bounds[i + 1]]: bits set in over half of them."""
+    over = 2 * _bit_counts(h, bounds) > np.diff(bounds)[:, None]
+    return (over.astype(U64) << np.arange(BITS, dtype=U64)).sum(axis=1, dtype=U64)
+
+
 def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.ndarray:
     """The fingerprint of each text."""
     from xxhash import xxh64_intdigest
@@ -85,10 +91,7 @@ def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.nda
             starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
             hashes += [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last, strict=True)]
         first.append(len(hashes))
-    bounds = np.array(first)
-    counts = _bit_counts(np.array(hashes, U64), bounds)
-    over = 2 * counts > np.diff(bounds)[:, None]
-    return (over.astype(U64) << np.arange(BITS, dtype=U64)).sum(axis=1, dtype=U64)
+    return _majority(np.array(hashes, U64), np.array(first))
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,15 +241,16 @@ def _meetings(marked: DataFrame, trials: int, radius: int, count: int, least_lea
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def links(distinct: DataFrame, radius: int = 4, count: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, count: int | None = None, node: str = "fp") -> DataFrame:
     """(src, dst) between fingerprints at most ``radius`` bits apart that
-    connect all that are linked; ``distinct`` has the column fp, without repeats."""
+    connect all that are linked; ``distinct`` has the column fp, without
+    repeats, and ``node``, which the links name."""
 
     def meet(fp: np.ndarray, node: np.ndarray, pairs, here) -> np.ndarray:
         found = np.array(list(_forest(pairs, fp, radius)), np.int64).reshape(-1, 2)
         return node[found]
 
-    own = distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps"))
+    own = distinct.select(F.col(node).alias("node"), F.array("fp").alias("fps"))
     return _meetings(own, 1, radius, distinct.count() if count is None else count, 12, meet)
 
 
@@ -254,9 +258,10 @@ def _classes(marked: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) of ``marked`` (doc_id, fp): the smallest doc_id that the fingerprint reaches."""
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(links(distinct, radius))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", "component")
+    # Written first, so that adaptive execution may split the fingerprints of a large component, and documents of one fingerprint.
+    least = durable(rooted.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id")))
+    return durable(rooted.join(least, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,9 +276,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 ALIKE = (4, 5)
 BANDS = 48
 ROWS = 7
-#: Texts of a group that are compared in one task, the most blocks of them in a larger one, and shingles that are compared at once.
+#: Texts of either side that meet in a task, those of them that are compared at once, and shingles of these at once.
+UNIT = 256
 BLOCK = 128
-BLOCKS = 24
 COLUMNS = 1 << 13
 _RNG = np.random.default_rng(11)
 _FLIPS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -314,44 +319,72 @@ def _bands(grams: list[np.ndarray]) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, bands): node stands for the words."""
+    """(doc_id, node, fp, bands): node stands for the words, fp is their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = buffer_of(batch.column("text"))
             for a, b in slices(offsets, AT_ONCE):
                 texts = [_joined(buf[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
-                bands = _bands([_shingles(t, shingle) for t in texts])
+                grams = [_shingles(t, shingle) for t in texts]
+                bands, fp = _bands(grams), _majority(np.concatenate(grams), np.cumsum([0, *map(len, grams)]))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([_digest(t) for t in texts], pa.int64()), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([_digest(t) for t in texts], pa.int64()), pa.array(fp.view(np.int64)), lists], names=["doc_id", "node", "fp", "bands"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
 
 
 def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, least, bands) of each distinct sequence of words: least is the
+    """(node, least, fp, bands) of each distinct sequence of words: least is the
     smallest doc_id that has it; texts without any id are left out."""
     marked = with_bands(docs, shingle, id_col, text_col).where("doc_id is not null")
-    return durable(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    return durable(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
 
-def _stars(own: DataFrame) -> DataFrame:
-    """(src, dst): each text of a band with the band's smallest node."""
-    rows = own.count() * BANDS
-    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 2_000_000))
+def _met(own: DataFrame) -> DataFrame:
+    """(band, node) of the bands that two texts or more share."""
+    rows = own.select("node", F.explode("bands").alias("band"))
+    shared = durable(rows.groupBy("band").count().where(F.col("count") > 1))
+    return durable(rows.join(shared, "band"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.array(b.column("band")), np.array(b.column("node"))) for b in batches if b.num_rows]
-        if held:
-            band, node = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((node, band))
-            band, node = band[order], node[order]
-            new = np.r_[True, band[1:] != band[:-1]]
-            head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-            found = np.unique(np.stack([head[~new], node[~new]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["src", "dst"])
 
-    return own.select("node", F.explode("bands").alias("band")).repartition(parts, "band").mapInArrow(run, "src long, dst long")
+def _leaders(met: DataFrame) -> DataFrame:
+    """(node, unit): each text that shares a band, and the leader that it is to be compared
+    with. A band's leader is the text whose bands hold the most texts, so
+    the one in the midst of a crowd; a text's is the leader of most of its bands."""
+    weight = met.groupBy("node").agg(F.sum("count").alias("weight"))
+    ranked = met.join(weight, "node").select("band", F.struct("weight", "node").alias("rank"))
+    best = durable(ranked.groupBy("band").agg(F.max("rank").alias("best")))
+    pairs = ranked.join(best, "band").where("rank < best").groupBy(F.col("rank.node").alias("node"), "best").count()
+    chosen = pairs.groupBy("node").agg(F.max(F.struct("count", "best")).alias("m")).select("node", F.col("m.best.node").alias("unit"))
+    return chosen
+
+
+def _ball_pairs(own: DataFrame, radius: int = 4) -> DataFrame:
+    """(node, unit) of texts whose fingerprints are at most ``radius`` bits apart: by meet-in-the-middle balls as in
+    :func:`links`; of texts of one fingerprint each with the first."""
+    first = durable(own.groupBy("fp").agg(F.min("node").alias("unit"), F.count("*").alias("n")))
+    same = own.select("fp", "node").join(first.where("n > 1"), "fp").where("node != unit").select("node", "unit")
+    return same.union(links(first, radius, node="unit").select("src", "dst"))
+
+
+def _with_visits(pairs: DataFrame) -> DataFrame:
+    """(unit, node, component, visits): pairs (node, unit) as members, the unit visits; each is its own component."""
+    sits = pairs.select("unit", "node", F.lit(False).alias("visits"))
+    visits = pairs.select("unit", F.col("unit").alias("node"), F.lit(True).alias("visits")).distinct()
+    return sits.union(visits).withColumn("component", F.col("node"))
+
+
+def _strays(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(unit, node, component, visits) of the bands in which texts of several
+    components are left. A band belongs to the component of most of its texts;
+    its other texts are strays and visit all texts that share a band of that
+    component with a stray, the strays themselves among them."""
+    named = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    parts = named.groupBy("band", "component").count()
+    mixed = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "component")).component.alias("unit")).where("kinds > 1")
+    inside = durable(named.join(durable(mixed.select("band", "unit")), "band").select("unit", "node", "component").distinct())
+    return inside.withColumn("visits", F.lit(False)).unionByName(inside.where("component != unit").withColumn("visits", F.lit(True)))
 
 
 def _alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -376,70 +409,90 @@ def _alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return both * (up + down) >= up * (sizes[: len(a), None] + sizes[None, len(a) :])
 
 
-def _exact_forest(grams: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs that are alike; only pairs that are connected already are not compared."""
-    root = np.arange(len(grams))
-    spans = [range(i, min(i + BLOCK, len(grams))) for i in range(0, len(grams), BLOCK)]
-    for k, p in enumerate(spans):
-        for q in spans[k:]:
-            if len(np.unique(root[[*p, *q]])) == 1:
+def _compared(sits: list[tuple[int, int, np.ndarray]], visits: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Pairs of (node, component, shingles) that are alike, as nodes; of those between two components one is enough."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for a in range(0, len(visits), BLOCK):
+        for b in range(0, len(sits), BLOCK):
+            p, q = visits[a : a + BLOCK], sits[b : b + BLOCK]
+            if len({find(x[1]) for x in p} | {find(x[1]) for x in q}) == 1:
                 continue
-            for i, j in np.argwhere(_alike([grams[i] for i in p], [grams[j] for j in q])).tolist():
-                x, y = root[p[i]], root[q[j]]
+            for i, j in np.argwhere(_alike([x[2] for x in p], [x[2] for x in q])).tolist():
+                x, y = find(p[i][1]), find(q[j][1])
                 if x != y:
-                    root[root == max(x, y)] = min(x, y)
-                    yield p[i], q[j]
-
-
-def _verified(docs: DataFrame, own: DataFrame, loose: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(src, dst): a spanning forest of the alike pairs of each component of
-    ``loose``. All texts of a component are compared; a large one is cut into
-    blocks and each two blocks meet in a task."""
-    sizes = loose.groupBy("component").count()
-    counts = {r.component: r["count"] for r in sizes.where(F.col("count") > BLOCK).collect()}
-    large = {c: min(BLOCKS, math.ceil(n / BLOCK)) for c, n in counts.items()}
-    rows = loose.count() + sum(n * large[c] for c, n in counts.items())
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 4000))
-    named = loose.join(own.select("node", "least"), "node")
-    texts = texts_of(docs, id_col, text_col).join(named, F.col("doc_id") == F.col("least")).select("node", "component", "text")
+                    root[max(x, y)] = min(x, y)
+                    yield p[i][0], q[j][0]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(src, dst): of each unit of ``members`` the pairs of a visiting and a
+    sitting text that are alike by all their shingles, as many as connect them.
+
+    Both sides of a unit are cut into blocks by their nodes, and each two blocks
+    meet in a task of their own; so memory does not grow with a unit."""
+    sizes = durable(members.groupBy("unit").agg(F.count_if("visits").alias("v"), F.count_if(~F.col("visits")).alias("s")))
+    cut = lambda n: F.ceil(F.col(n) / UNIT).cast("int")
+    dealt = members.join(sizes, "unit").where("v > 0 and s > 0").withColumns({"v": cut("v"), "s": cut("s")})
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod(F.col("node"), F.col(n)).cast("int"))
+    dealt = dealt.withColumn("i", F.explode(F.when(F.col("visits"), all_of("s")).otherwise(own("s"))))
+    dealt = dealt.withColumn("j", F.explode(F.when(F.col("visits"), own("v")).otherwise(all_of("v"))))
+    rows = dealt.select("unit", "i", "j", "node", "component", "visits").join(texts, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(sits: dict, visits: dict) -> Iterator[tuple[int, int]]:
+            if sits and visits:
+                yield from _compared(*([(n, c, np.unique(_shingles(t, shingle))) for n, (c, t) in sorted(x.items())] for x in (sits, visits)))
+
+        key, held, found = None, ({}, {}), []
         for batch in batches:
-            out = []
-            for node, component, text in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "text")), strict=True):
-                joined = _joined(text.encode())
-                if _digest(joined) == node:  # not another text of the same id
-                    grams = np.unique(_shingles(joined, shingle)).tobytes()
-                    n = large.get(component, 1)
-                    i = node % n
-                    out += [(component, min(i, j) * n + max(i, j), node, grams) for j in range(n) if j != i or n == 1]
-            for k in range(0, len(out), 1000):
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out[k : k + 1000], strict=True), kinds, strict=True)], names=["component", "block", "node", "grams"])
+            for *at, node, component, visits, text in zip(*(batch.column(c).to_pylist() for c in ("unit", "i", "j", "node", "component", "visits", "text")), strict=True):
+                if at != key:
+                    found += told(*held)
+                    key, held = at, ({}, {})
+                held[visits][node] = (component, text)
+        found += told(*held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(run, "src long, dst long")
+
+
+def _named_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text): the words of each of ``wanted`` (node, least), joined by blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[int, int], dict[int, bytes]] = {}
         for batch in batches:
-            for component, block, node, grams in zip(*(batch.column(c).to_pylist() for c in ("component", "block", "node", "grams")), strict=True):
-                groups.setdefault((component, block), {})[node] = grams
-        for key in list(groups):
-            group = sorted(groups.pop(key).items())
-            found = list(_exact_forest([np.frombuffer(x, U64) for _, x in group]))
-            yield pa.RecordBatch.from_arrays([pa.array([group[pair[i]][0] for pair in found], pa.int64()) for i in (0, 1)], names=["src", "dst"])
-
-    dealt = texts.mapInArrow(deal, "component long, block long, node long, grams binary").repartition(parts, "component", "block")
-    return dealt.mapInArrow(run, "src long, dst long")
+            rows = [(n, t) for n, t in zip(batch.column("node").to_pylist(), map(_joined, batch.column("text").cast(pa.binary()).to_pylist()), strict=True) if _digest(t) == n]
+            # else another text of the same id
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "text"])
+
+    rows = texts_of(docs, id_col, text_col).join(wanted, F.col("doc_id") == F.col("least")).select("node", "text")
+    return durable(rows.mapInArrow(run, "node long, text binary").dropDuplicates(["node"]))
 
 
 def similar_texts(docs: DataFrame, own: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of those of :func:`distinct_texts` that have a
     near-duplicate; a component is named by one of its nodes.
 
-    Texts that share a band, directly or by others, are compared with one another by all of their
-    shingles; so which text of a band comes first decides nothing, and a link
-    between two groups is found whatever else is linked."""
-    loose = durable(connected_components(_stars(own)))
-    return connected_components(_verified(docs, own, loose, shingle, id_col, text_col))
+    Candidates are texts whose fingerprints share a ball, and texts that share a
+    band. They are compared by all of their shingles unless they are connected
+    already: first those of a ball, and each text with one leader of its bands;
+    then, in bands in which several components are left, each with all others.
+    So no choice of leaders hides a link."""
+    met = _met(own)
+    pairs = durable(_leaders(met).union(_ball_pairs(own)).distinct())
+    wanted = met.select("node").union(pairs.select("node")).union(pairs.select("unit")).distinct()
+    texts = _named_texts(docs, own.join(wanted, "node", "left_semi").select("node", "least"), id_col, text_col)
+    first = durable(_verified(texts, _with_visits(pairs), shingle))
+    more = _verified(texts, _strays(met, durable(connected_components(first))), shingle)
+    return connected_components(first.union(more))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from quarryline.llm import simhash
 
 from .test_pipeline import near_groups
@@ -33,6 +35,7 @@ def test_a_failed_first_partner_hides_no_other(spark):
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     """A crowd of edits, some further than 0.8 from the others, in many small blocks."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "UNIT", 16)
     rng = random.Random(4)
     words = [f"e{i}" for i in range(150)]
     texts = {}
@@ -88,3 +91,37 @@ def test_repeated_ids_of_unequal_texts(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
     out = sorted((r.doc_id, r.text.split()[0]) for r in simhash.drop_near_duplicates(docs).collect())
     assert out == [(1, "g0x0"), (5, "g1x0"), (5, "g2x0")]
+
+
+def test_a_crowd_of_near_copies_loses_no_link(spark):
+    """3,000 copies of one text of 200 words, each with 1 to 4 edited words, against all pairs."""
+    rng = random.Random(8)
+    words = [f"h{i}" for i in range(200)]
+    texts = {}
+    for k in range(3000):
+        own = list(words)
+        for at in rng.sample(range(200), rng.randint(1, 4)):
+            own[at] = f"i{k}x{at}"
+        texts[k] = own
+    grams = [{tuple(w[i : i + 5]) for i in range(196)} for w in texts.values()]
+    number = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+    common = sorted({g for g in set().union(*grams) if sum(g in x for x in grams[:50]) > 5})
+    has = np.zeros((3000, len(common)), np.float32)
+    for i, g in enumerate(common):
+        for k, x in enumerate(grams):
+            has[k, i] = g in x
+    shared = has @ has.T  # edits are unlike one another, so all that two texts share is common
+    assert len(number) > len(common) == 196
+    alike = shared * 9 >= 4 * (196 + 196)
+    root = list(range(3000))
+    for k in range(3000):
+        seen, todo = {root[k]}, [k]
+        if root[k] != k:
+            continue
+        while todo:
+            for j in np.flatnonzero(alike[todo.pop()]).tolist():
+                if root[j] != k and j not in seen:
+                    root[j] = k
+                    seen.add(j)
+                    todo.append(j)
+    assert kept(spark, texts) == {i for i in range(3000) if root[i] == i}
