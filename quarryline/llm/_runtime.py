@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where lineage is cut if the cluster names no shared folder (local tests).
@@ -13,8 +15,12 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    ``spark.checkpoint.dir``. In local mode a local one will do; on a cluster
+    executors would each see another folder, so there it must be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or LOCAL_CHECKPOINTS
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -26,6 +32,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes that ``df`` scans."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -43,3 +56,64 @@ def groups_for(df: DataFrame, bytes_each: int, text_col: str = "text", least: in
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
     """Only the id and the text (null: empty), whatever other columns there are."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+#: Fixed values of the 32-bit MurmurHash3 by which Spark deals rows to partitions; the factors' inverses undo them.
+SEED, BITS_32 = 42, 0xFFFFFFFF
+_FINAL = (pow(0xC2B2AE35, -1, 1 << 32), pow(0x85EBCA6B, -1, 1 << 32))
+_BLOCK = (pow(5, -1, 1 << 32), pow(0x1B873593, -1, 1 << 32), pow(0xCC9E2D51, -1, 1 << 32))
+_ADDED = 0xE6546B64
+
+
+def _hashed_to(number, right: Callable, times: Callable, let: Callable):
+    """The 32 bits whose hash is ``number``: each step of the hash undone."""
+    turn = lambda x, k: (right(x, k) | (x * (1 << (32 - k)))) & BITS_32
+    x = let(number, lambda x: times(x ^ right(x, 16), _FINAL[0]))
+    x = let(x, lambda x: times(x ^ right(x, 13) ^ right(x, 26), _FINAL[1]))
+    x = let(x, lambda x: times(((x ^ right(x, 16) ^ 4) - _ADDED) & BITS_32, _BLOCK[0]))
+    x = let(x, lambda x: times(turn(x, 13) ^ SEED, _BLOCK[1]))
+    return let(x, lambda x: times(turn(x, 15), _BLOCK[2]))
+
+
+def dealing_keys(numbers: np.ndarray) -> np.ndarray:
+    """By number: the int that Spark deals to the partition of that number.
+
+    Hashes of small ints leave many partitions empty and others with several
+    groups; dealt by these keys, each of n groups has a partition of its own."""
+    x = np.asarray(numbers, np.uint64)
+    right = lambda x, k: x >> np.uint64(k)
+    times = lambda x, c: (x * np.uint64(c)) & np.uint64(BITS_32)
+    return _hashed_to(x, right, times, lambda x, of: of(x)).astype(np.uint32).view(np.int32)
+
+
+def dealing_key(number: Column) -> Column:
+    """:func:`dealing_keys` of a column."""
+
+    def times(x: Column, c: int) -> Column:  # by halves of c, so that nothing overflows
+        return (x * (c & 0xFFFF) + (x * (c >> 16)).bitwiseAND(F.lit(0xFFFF)) * (1 << 16)).bitwiseAND(F.lit(BITS_32))
+
+    class Bits:
+        """A column of 32 bits as a long, with Python's operators on bits."""
+
+        def __init__(self, c: Column):
+            self.c = c
+
+        def __xor__(self, o):
+            return Bits(self.c.bitwiseXOR(o.c if isinstance(o, Bits) else F.lit(o)))
+
+        def __or__(self, o):
+            return Bits(self.c.bitwiseOR(o.c))
+
+        def __and__(self, o):
+            return Bits(self.c.bitwiseAND(F.lit(o)))
+
+        def __mul__(self, o):
+            return Bits(self.c * o)
+
+        def __sub__(self, o):
+            return Bits(self.c - o)
+
+    let = lambda x, of: Bits(F.transform(F.array(x.c), lambda y: of(Bits(y)).c)[0])
+    right = lambda x, k: Bits(F.shiftrightunsigned(x.c, k))
+    found = _hashed_to(Bits(number.cast("long")), right, lambda x, c: Bits(times(x.c, c)), let).c
+    return F.when(found >= 1 << 31, found - (1 << 32)).otherwise(found).cast("int")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ._runtime import groups_for, texts_of
+from ._runtime import dealing_key, dealing_keys, groups_for, texts_of
 
 #: A difference cover: every residue modulo 13 is a difference of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -39,7 +39,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 GROUP_BYTES = 6 << 20
 LAST = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-ASKED = "bucket int, grp int, hashes binary, more binary, docs binary"
+ASKED = "deal int, bucket int, grp int, hashes binary, more binary, docs binary"
 TOLD = "grp int, bucket int, kind int, bits binary"
 
 
@@ -130,7 +130,8 @@ def _packed(grp: int, hashes: np.ndarray, buckets: int, *more: np.ndarray) -> pa
     cut = lambda x: pa.array([_planes(x[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
     none = pa.nulls(len(first), pa.binary())
     columns = [cut(hashes), *map(cut, more), *[none] * (2 - len(more))]
-    return pa.table([pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), grp, np.int32)), *columns], names=["bucket", "grp", "hashes", "more", "docs"])
+    own = bucket[first]
+    return pa.table([pa.array(dealing_keys(own)), pa.array(own, pa.int32()), pa.array(np.full(len(first), grp, np.int32)), *columns], names=["deal", "bucket", "grp", "hashes", "more", "docs"])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -160,7 +161,7 @@ def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id",
     ``group_bytes``: scanned bytes of a group; a worker needs some 40 times as much memory."""
     n = groups_for(docs, group_bytes, text_col)
     buckets = max(8, n // 4)  # fewer than groups, so that a group's entries for a bucket are worth a row
-    dealt = texts_of(docs, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    dealt = texts_of(docs, id_col, text_col).withColumn("grp", dealing_key(F.pmod(F.xxhash64("doc_id"), F.lit(n))))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         hashes, _ = Group(table, length).anchors()
@@ -212,9 +213,9 @@ def dedup_substrings(docs: DataFrame, length: int = 20, id_col: str = "doc_id",
             digests.append(sha256(b" ".join(own)).hexdigest())
         return pa.table([group.ids, pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    # As many partitions as groups: a task's share does not grow with the input.
+    # A partition for each group and for each bucket: a task's share does not grow with the input.
     by_group = lambda df: df.repartition(n, "grp").groupBy("grp")
-    by_bucket = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    by_bucket = lambda df: df.repartition(buckets, "deal").groupBy("deal")
     groups = by_group(dealt)
     anchors = by_bucket(groups.applyInArrow(ask, ASKED)).applyInArrow(shared, TOLD)
     windows = by_bucket(groups.cogroup(by_group(anchors)).applyInArrow(extend, ASKED)).applyInArrow(later, TOLD)

@@ -25,11 +25,12 @@ import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import shared_dir
+from ._runtime import dealing_keys, durable, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 ID = "urn:page:"
@@ -74,11 +75,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Writes a record for each row of ``pages`` to archives in the folder ``path``."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= least
-    first = own.where(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "first_id")
-    # Short payloads match nothing and are spread by their ids, not gathered under one digest.
-    own = own.withColumn("same", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    rows = own.join(first, "same", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    # Only ids and digests are gathered by payload; a payload in a third of all pages stays where it is.
+    named = own.where(F.octet_length("payload") >= least).select("page_id", "digest")
+    first = durable(named.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"))
+    refers = named.join(first, "digest").where("page_id > first_id").select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
+    rows = own.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +194,9 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, pa
     payload is checked against its digest; a revisit's payload is null, its
     bytes and digest are those of the payload it stands for."""
     parts = ranges(spark, path, range_bytes)
-    plan = spark.createDataFrame(parts, "path string, a long, b long").repartition(max(1, len(parts)), "path", "a")
+    keys = dealing_keys(np.arange(len(parts))).tolist()
+    rows = [(*p, k) for p, k in zip(parts, keys, strict=True)]
+    plan = spark.createDataFrame(rows, "path string, a long, b long, deal int").repartition(max(1, len(parts)), "deal").drop("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
