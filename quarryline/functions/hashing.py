@@ -26,11 +26,46 @@ def shard_of(key: Column, shards: int = 64) -> Column:
 
     @F.pandas_udf(T.IntegerType())
     def run(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: fnv1a32((k or "").encode()) % shards)
+        return pd.Series((fnv_column(keys) % np.uint32(shards)).astype(np.int32))
 
     return run(key)
 
 
+def fnv_column(keys: pd.Series, bits: int = 32) -> np.ndarray:
+    """FNV-1a of each key's UTF-8 bytes (null: none), a byte of all keys at a step."""
+    kind, start, prime = (np.uint32, 0x811C9DC5, 0x01000193) if bits == 32 else (np.uint64, 0xCBF29CE484222325, 0x100000001B3)
+    data = [(k or "").encode() for k in keys]
+    size = np.array([len(d) for d in data], np.int64)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    first = np.cumsum(size) - size
+    out = np.full(len(data), start, kind)
+    at, step = np.flatnonzero(size), 0
+    while len(at):
+        out[at] = (out[at] ^ flat[first[at] + step]) * kind(prime)
+        step += 1
+        at = at[size[at] > step]
+    return out
+
+
+def partition_of(key: Column, partitions: int = 16) -> Column:
+    """The partition of a key among a fixed number of them (none or less: 16): its ring hash modulo that number."""
+    n = np.uint64(partitions if partitions > 0 else 16)
+
+    @F.pandas_udf(T.IntegerType())
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series((ring_hashes(keys) % n).astype(np.int32))
+
+    return run(key)
+
+
+def ring_hashes(keys: pd.Series) -> np.ndarray:
+    """:func:`ring_hash` of many keys."""
+    h = fnv_column(keys, 64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
 def ring_hash(key: str) -> int:
     """FNV-1a (64 bits), its bits spread."""
     h = fnv1a64(key.encode())
@@ -49,22 +84,23 @@ def ring(nodes: Sequence[str], copies: int = 128) -> list[tuple[int, str]]:
 def ring_node(key: Column, nodes: Sequence[str], copies: int = 128, replicas: int = 1) -> Column:
     """The first ``replicas`` different nodes at or behind a key on the ring."""
     tokens = ring(nodes, copies)
-    hashes = [h for h, _ in tokens]
-
-    def find(k: str) -> list[str]:
-        at = bisect_left(hashes, ring_hash(k))
-        out: list[str] = []
-        for i in range(len(tokens)):
-            node = tokens[(at + i) % len(tokens)][1]
-            if node not in out:
-                out.append(node)
-            if len(out) >= min(replicas, len(set(nodes))):
-                break
-        return out
+    hashes = np.array([h for h, _ in tokens], np.uint64)
+    names = [node for _, node in tokens]
+    most = min(replicas, len(set(nodes)))
+    behind = []  # by token: the first different nodes from it on
+    for i in range(len(names)):
+        found: list[str] = []
+        for k in range(len(names)):
+            if (node := names[(i + k) % len(names)]) not in found:
+                found.append(node)
+                if len(found) >= most:
+                    break
+        behind.append(found)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: find(k or ""))
+        at = np.searchsorted(hashes, ring_hashes(keys)) % max(1, len(hashes))
+        return pd.Series([behind[i] for i in at.tolist()], dtype=object)
 
     return run(key)
 

@@ -7,6 +7,7 @@ is pure Python and runs in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -39,8 +40,20 @@ WITH_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol table pre blockquote div sect
 LEAVES = frozenset("div section article span aside".split())
 NO_LOOSE_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre a code table th td script style title head".split())
 CLEAN_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li article main section".split())
-DEEPEST = 128
-MAX_COLUMNS, MAX_ROWS, MAX_CELL = 50, 500, 1000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What of a page goes into its Markdown: how deep its body is followed, a table's columns and rows, a cell's
+    bytes. None takes all. :func:`to_markdown` says whether anything was left out."""
+
+    depth: int | None = 128
+    columns: int | None = 50
+    rows: int | None = 500
+    cell: int | None = 1000
+
+
+WHOLE = Limits(None, None, None, None)
 
 
 @dataclass
@@ -54,7 +67,14 @@ class Node:
         return (c for c in self.children if isinstance(c, Node))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                todo += c.children[::-1]
+        return "".join(out)
 
     def walk(self):
         """This element and all below it, in order."""
@@ -147,49 +167,71 @@ def _absolute(base: str, href: str) -> str | None:
 
 
 def _inline(node: Node, base: str, mode: str) -> str:
-    if _skipped(node, mode):
-        return ""
-    if node.tag == "code":
-        code = node.text().strip()
-        return f"`{code}`" if code else ""
-    if node.tag == "a":
-        label, href = node.text().strip(), node.attr("href")
-        plain = not href or not label or (label.startswith("[") and "](" in label) or (mode == "clean_rag" and href.startswith("#"))
-        target = None if plain else _absolute(base, href)
-        return f"[{label}]({target})" if target else label
-    return "".join(c if isinstance(c, str) else _inline(c, base, mode) for c in node.children)
+    out, todo = [], [node]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif _skipped(c, mode):
+            continue
+        elif c.tag == "code":
+            code = c.text().strip()
+            out.append(f"`{code}`" if code else "")
+        elif c.tag == "a":
+            label, href = c.text().strip(), c.attr("href")
+            plain = not href or not label or (label.startswith("[") and "](" in label) or (mode == "clean_rag" and href.startswith("#"))
+            target = None if plain else _absolute(base, href)
+            out.append(f"[{label}]({target})" if target else label)
+        else:
+            todo += c.children[::-1]
+    return "".join(out)
 
 
 _HEADINGS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "h5": "#### ", "h6": "#### "}
 
 
-def _blocks(node: Node, base: str, mode: str, depth: int = 0):
-    """The Markdown blocks of an element, in order."""
-    if depth > DEEPEST or _skipped(node, mode) or node.tag == "table":
-        return
-    if node.tag in _HEADINGS or node.tag in ("p", "blockquote", "pre"):
-        text = (_inline(node, base, mode) if node.tag == "p" else node.text()).strip()
-        if text:
-            yield {"p": text, "blockquote": f"> {text}", "pre": f"```\n{text}\n```"}.get(node.tag) or _HEADINGS[node.tag] + text
-        return
-    if node.tag in ("ul", "ol"):
-        items = [_inline(c, base, mode).strip() for c in node.elements() if c.tag == "li"]
-        yield "\n".join(f"- {x}" for x in items if x)
-        return
-    if node.tag in LEAVES and not any(c.tag in WITH_BLOCKS for c in node.elements()):
-        text = _inline(node, base, mode).strip()
-        if text:
-            yield text
-            return
-    for c in node.children:
-        if isinstance(c, Node):
-            yield from _blocks(c, base, mode, depth + 1)
-        elif c.strip() and node.tag not in NO_LOOSE_TEXT:
-            yield c.strip()
-
-
-def _cell(node: Node) -> str:
-    return node.text().strip().encode()[:MAX_CELL].decode(errors="ignore")
+def _blocks(root: Node, base: str, mode: str, limits: Limits, cut: list[str]):
+    """The Markdown blocks of an element, in order; what is left out is named in ``cut``."""
+    todo: list[tuple[Node | str, int]] = [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, str):
+            yield node
+            continue
+        if _skipped(node, mode) or node.tag == "table":
+            continue
+        if limits.depth is not None and depth > limits.depth:
+            cut.append("depth")
+            continue
+        if node.tag in _HEADINGS or node.tag in ("p", "blockquote", "pre"):
+            text = (_inline(node, base, mode) if node.tag == "p" else node.text()).strip()
+            if text:
+                yield {"p": text, "blockquote": f"> {text}", "pre": f"```\n{text}\n```"}.get(node.tag) or _HEADINGS[node.tag] + text
+            continue
+        if node.tag in ("ul", "ol"):
+            items = [_inline(c, base, mode).strip() for c in node.elements() if c.tag == "li"]
+            yield "\n".join(f"- {x}" for x in items if x)
+            continue
+        if node.tag in LEAVES and not any(c.tag in WITH_BLOCKS for c in node.elements()):
+            text = _inline(node, base, mode).strip()
+            if text:
+                yield text
+                continue
+        below: list[tuple[Node | str, int]] = []
+        for c in node.children:
+            if isinstance(c, Node):
+                below.append((c, depth + 1))
+            elif c.strip() and node.tag not in NO_LOOSE_TEXT:
+                below.append((c.strip(), depth))
+        todo += below[::-1]
+
+
+def _cell(node: Node, limits: Limits, cut: list[str]) -> str:
+    text = node.text().strip()
+    if limits.cell is None or len(data := text.encode()) <= limits.cell:
+        return text
+    cut.append("cell")
+    return data[: limits.cell].decode(errors="ignore")
 
 
 def _own_rows(table: Node):
@@ -203,15 +245,22 @@ def _own_rows(table: Node):
         todo += list(node.elements())[::-1]
 
 
-def _table(node: Node) -> str:
+def _table(node: Node, limits: Limits, cut: list[str]) -> str:
     headers, rows = [], []
     for own in _own_rows(node):
-        if own.tag == "th" and len(headers) < MAX_COLUMNS:
-            headers.append(_cell(own))
-        elif own.tag == "tr" and len(rows) < MAX_ROWS:
-            row = [_cell(c) for c in own.elements() if c.tag == "td"][:MAX_COLUMNS]
-            if row:
-                rows.append(row)
+        if own.tag == "th":
+            if limits.columns is None or len(headers) < limits.columns:
+                headers.append(_cell(own, limits, cut))
+            else:
+                cut.append("columns")
+        elif own.tag == "tr":
+            cells = [c for c in own.elements() if c.tag == "td"]
+            if cells and limits.rows is not None and len(rows) >= limits.rows:
+                cut.append("rows")
+            elif cells:
+                if limits.columns is not None and len(cells) > limits.columns:
+                    cut.append("columns")
+                rows.append([_cell(c, limits, cut) for c in cells[: limits.columns]])
     if not headers and rows:
         headers = [f"Col {i + 1}" for i in range(len(rows[0]))]
     if not headers:
@@ -229,22 +278,35 @@ def title_of(root: Node) -> str:
     return ""
 
 
-def to_markdown(html: str, url: str = "", mode: str = "clean_rag") -> tuple[str, int, str]:
-    """(Markdown, words, title): the title, all tables, then the body."""
+def words_of(text: str) -> int:
+    """The number of words: the token count where no tokenizer is given."""
+    return len(text.split())
+
+
+def to_markdown(
+    html: str, url: str = "", mode: str = "clean_rag", limits: Limits = Limits(), count: Callable[[str], int] = words_of
+) -> tuple[str, int, str, str]:
+    """(Markdown, tokens by ``count``, title, what ``limits`` left out): the title, all tables, then the body."""
     root = tree(html)
-    title = title_of(root) or url
-    parts = [f"# {title}", *filter(None, (_table(n) for n in root.walk() if n.tag == "table")), *filter(None, _blocks(root, url, mode))]
+    title, cut = title_of(root) or url, []
+    tables = [_table(n, limits, cut) for n in root.walk() if n.tag == "table"]
+    parts = [f"# {title}", *filter(None, tables), *filter(None, _blocks(root, url, mode, limits, cut))]
     text = "\n\n".join(parts).strip()
-    return text, len(text.split()), title
+    return text, count(text), title, ",".join(sorted(set(cut)))
 
 
-def _clean(node: Node) -> list[str]:
-    if _skipped(node, "clean_rag"):
-        return []
-    if node.tag in CLEAN_BLOCKS:
-        text = node.text().strip()
-        return [text] if len(text.encode()) > 3 else []
-    return [x for c in node.elements() for x in _clean(c)]
+def _clean(root: Node) -> list[str]:
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if _skipped(node, "clean_rag"):
+            continue
+        if node.tag in CLEAN_BLOCKS:
+            text = node.text().strip()
+            out += [text] if len(text.encode()) > 3 else []
+        else:
+            todo += list(node.elements())[::-1]
+    return out
 
 
 def links(root: Node, url: str) -> list[str]:
@@ -295,10 +357,13 @@ def cleaned(html: Column, url: Column) -> Column:
     return run(html, url)
 
 
-def markdown(html: Column, url: Column, mode: str = "clean_rag") -> Column:
-    @F.pandas_udf("struct<markdown:string,tokens:long,title:string>")
+def markdown(html: Column, url: Column, mode: str = "clean_rag", limits: Limits = Limits(), count: Callable[[str], int] = words_of) -> Column:
+    """struct(markdown, tokens, title, cut): ``cut`` names the limits that left something out, "" if none did."""
+
+    @F.pandas_udf("struct<markdown:string,tokens:long,title:string,cut:string>")
     def run(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([to_markdown(h or "", u or "", mode) for h, u in zip(pages, urls, strict=True)], columns=["markdown", "tokens", "title"])
+        rows = [to_markdown(h or "", u or "", mode, limits, count) for h, u in zip(pages, urls, strict=True)]
+        return pd.DataFrame(rows, columns=["markdown", "tokens", "title", "cut"])
 
     return run(html, url)
 

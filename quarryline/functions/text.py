@@ -14,14 +14,24 @@ from pyspark.sql import types as T
 from .constants import EMBED_TRIM, STOPWORDS, TOKEN_TRIM
 
 
+#: Unicode's white space but the blank.
+SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def fields(text: Column) -> Column:
-    """The runs between white space (Unicode's), as an array; none for null or blank texts."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"(?U)\s+"))
+    """The runs between white space (Unicode's), as an array; none for null or blank texts.
+
+    Searches for single characters and a split at blanks need no regular expression, which would test each character."""
+    bare = F.coalesce(text, F.lit(""))
+    for c in SPACES:
+        bare = F.replace(bare, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def trimmed(token: Column, chars: str = TOKEN_TRIM) -> Column:
-    return F.btrim(token, F.lit(chars))
+    edges = list(chars)
+    edge = F.substring(token, 1, 1).isin(edges) | F.substring(token, -1, 1).isin(edges)
+    return F.when(edge, F.btrim(token, F.lit(chars))).otherwise(token)  # trimming is dear, and few need it
 
 
 def is_stopword(token: Column) -> Column:
@@ -32,9 +42,10 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, dl, pos, term): terms that are neither empty nor stopwords. pos
     counts all tokens, so stopwords leave gaps; dl is the number of all tokens."""
     raw = docs.select(F.col(id_col).alias("doc_id"), fields(F.lower(F.col(text_col))).alias("raw"))
-    flat = raw.select("doc_id", F.size("raw").cast("long").alias("dl"), F.posexplode("raw").alias("pos", "token"))
+    # An inner explosion would make the optimizer split each text once more, to filter empty ones.
+    flat = raw.select("doc_id", F.size("raw").cast("long").alias("dl"), F.posexplode_outer("raw").alias("pos", "token"))
     terms = flat.select("doc_id", "dl", "pos", trimmed(F.col("token")).alias("term"))
-    return terms.where((F.col("term") != "") & ~is_stopword(F.col("term")))
+    return terms.where((F.col("term") != "") & ~F.col("term").isin(*STOPWORDS))
 
 
 # --- stemming -----------------------------------------------------------------

@@ -160,8 +160,25 @@ def same_origin(a: Column, b: Column) -> Column:
 
 
 def subnet(ip: Column) -> Column:
-    """The /24 of an IPv4 address; others stay."""
-    return F.when(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.regexp_replace(ip, r"\.\d+$", ".0/24")).otherwise(ip)
+    """The /24 of an IPv4 address, the /64 of an IPv6 one; what is no address stays."""
+
+    @F.pandas_udf(T.StringType())
+    def of_v6(ips: pd.Series) -> pd.Series:
+        return ips.map(_prefix64)
+
+    v4 = ip.rlike(r"^\d+\.\d+\.\d+\.\d+$")
+    return F.when(v4, F.regexp_replace(ip, r"\.\d+$", ".0/24")).when(F.contains(ip, F.lit(":")), of_v6(ip)).otherwise(ip)
+
+
+def _prefix64(ip: str | None) -> str | None:
+    try:
+        own = ipaddress.ip_address((ip or "").strip("[]").partition("%")[0])
+    except ValueError:
+        return ip
+    mapped = own if own.version == 4 else own.ipv4_mapped
+    if mapped is not None:
+        return str(mapped).rpartition(".")[0] + ".0/24"
+    return ":".join(f"{int(own) >> shift & 0xFFFF:x}" for shift in (112, 96, 80, 64)) + "::/64"
 
 
 def private_ip(ip: str | None) -> bool | None:

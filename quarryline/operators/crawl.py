@@ -11,14 +11,15 @@ from ..functions.numbers import half_away
 from .graph import cut
 
 
-def frontier(links: DataFrame, seen: DataFrame, least: float = 0.10, capacity: int = 50_000) -> DataFrame:
+def frontier(links: DataFrame, seen: DataFrame, least: float = 0.10, capacity: int | None = 50_000) -> DataFrame:
     """(url, depth, priority) of ``links`` (url, anchor, depth) worth a crawl:
     not in ``seen`` (url), priority at least ``least``, the best of each url,
-    the ``capacity`` best in all."""
+    the ``capacity`` best in all (None: all)."""
     scored = links.withColumn("priority", U.priority(F.col("url"), F.col("anchor"), F.col("depth"))).where(F.col("priority") >= least)
     best = scored.groupBy("url").agg(F.max(F.struct("priority", (-F.col("depth")).alias("neg"))).alias("b"))
     new = best.join(seen.select("url").distinct(), "url", "left_anti")
-    return new.select("url", (-F.col("b.neg")).alias("depth"), F.col("b.priority").alias("priority")).orderBy(F.col("priority").desc(), "url").limit(capacity)
+    own = new.select("url", (-F.col("b.neg")).alias("depth"), F.col("b.priority").alias("priority"))
+    return own if capacity is None else own.orderBy(F.col("priority").desc(), "url").limit(capacity)
 
 
 def first_seen(items: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
@@ -116,12 +117,14 @@ def is_shell(html: Column) -> Column:
 def adaptive_crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int = 1000, least: float = 0.10) -> DataFrame:
     """(url, depth, priority): a crawl over stored ``pages`` (url, yield, links)
     and ``links`` (src, dst, anchor) that takes the best links first and leaves
-    subtrees that yield little. One level is one join."""
+    subtrees that yield little. One level is one join. Pages are crawled level by
+    level, each level by priority and then address; low yields in a row are in that order."""
     known = pages.select("url", F.col("yield"), F.col("links").alias("n_links"))
     front = cut(seeds.select("url").distinct().join(known.select("url"), "url", "left_semi").select("url", F.lit(0).alias("depth"), F.lit(1.0).alias("priority")).orderBy("url").limit(max_pages))
     seen, left = front, max_pages - front.count()
     for depth in range(1, max_depth + 1):
-        log = seen.join(known, "url").select(F.xxhash64("url").alias("seq"), "url", "yield", F.col("n_links").alias("links"), "depth")
+        order = F.struct("depth", -F.col("priority"), "url")
+        log = seen.join(known, "url").select(order.alias("seq"), "url", "yield", F.col("n_links").alias("links"), "depth")
         found = links.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url"), "anchor", F.lit(depth).alias("depth"))
         ranked = unpruned(frontier(found, seen, least), pruned_subtrees(log)).join(known.select("url"), "url", "left_semi")
         front = cut(ranked.orderBy(F.col("priority").desc(), "url").limit(max(0, left)))

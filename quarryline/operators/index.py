@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fields, stemmed, tokens
 
 
+#: Documents whose ids share a block's number share its bounds.
+BLOCK = 64
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, tf, positions), doc_len (doc_id, dl), terms (term, df, cf), stats (one row)."""
+    """postings (bucket, term, doc_id, tf, dl, positions), doc_len (doc_id, dl), terms (term, df, cf), stats (one
+    row), bounds (bucket, term, block, n, max_tf, min_len, max_id). A term's bucket is ``bucket_of`` of ``buckets``."""
 
     postings: DataFrame
     doc_len: DataFrame
     terms: DataFrame
     stats: DataFrame
+    bounds: DataFrame
+    buckets: int
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,26 +55,48 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def build(docs: DataFrame, stem: bool = True, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of ``docs``."""
+def _bounds(post: DataFrame, block: int = BLOCK) -> DataFrame:
+    own = post.withColumn("block", F.floor(F.col("doc_id") / block))
+    return own.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_len"), F.max("doc_id").alias("max_id"))
+
+
+def _terms(post: DataFrame) -> DataFrame:
+    return post.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _postings(docs: DataFrame, stem: bool, id_col: str, text_col: str, buckets: int, slices: int) -> DataFrame:
+    """Postings dealt by bucket of their term and slice of their document, by one exchange: a frequent term is in
+    as many tasks as there are slices."""
     terms = tokens(docs, id_col, text_col)
-    if stem:
-        terms = stemmed(terms)
+    terms = (stemmed(terms) if stem else terms).withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
+    dealt = terms.repartition(buckets * slices, "bucket", "slice")
+    grouped = dealt.groupBy("bucket", "slice", "term", "doc_id")
+    return grouped.agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions")).drop("slice")
+
+
+def build(docs: DataFrame, stem: bool = True, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, slices: int = 1) -> Index:
+    """The index of ``docs``, as plans."""
     lengths = doc_lengths(docs, id_col, text_col)
-    post = postings(terms)
-    return Index(post, lengths, post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), corpus_stats(lengths))
+    post = _postings(docs, stem, id_col, text_col, buckets, slices)
+    return Index(post, lengths, _terms(post), corpus_stats(lengths), _bounds(post), buckets)
 
 
-def save(index: Index, path: str, buckets: int = 64) -> None:
-    """A snapshot. Postings are clustered by term, so that a query reads few row groups."""
-    by_term = index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "doc_id")
-    by_term.write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("doc_len", "terms", "stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def save(index: Index, path: str) -> None:
+    """A snapshot. Postings lie in a folder for each bucket, sorted by term, so a query reads few row groups of few
+    folders; what follows from postings is computed from those written."""
+    spark = index.postings.sparkSession
+    index.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
+    post, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_len")
+    _terms(post).write.mode("overwrite").parquet(f"{path}/terms")
+    _bounds(post).repartition("bucket").sortWithinPartitions("term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
+    corpus_stats(lengths).withColumn("buckets", F.lit(index.buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_len", "terms", "stats")))
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    stats = read("stats")
+    return Index(read("postings"), read("doc_len"), read("terms"), stats, read("bounds"), stats.first()["buckets"])
 
 
 def block_stats(post: DataFrame, lengths: DataFrame, block: int = 64) -> DataFrame:

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import TTL_DEFAULT, TTL_MAX, TTL_MIN
+from ..functions.urls import canonical
 from .graph import cut
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "url", version: str = "version", keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
     """``old`` with the latest version of each key from ``new``; columns in
-    ``keep`` stay those of the first version. One exchange by key."""
+    ``keep`` stay those of the first version. One exchange by key. Of equal
+    versions that of ``new`` counts, of several such rows always the same one;
+    rows without a key are no versions of one another and all stay."""
     names = [c for c in old.columns if c != key]
-    both = old.unionByName(new)
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*names), F.col(version)).alias("l"), F.min_by(F.struct(*[c for c in keep if c in names] or names[:1]), F.col(version)).alias("f"))
-    return latest.select(*[F.col(key) if c == key else F.col(f"f.{c}" if c in keep else f"l.{c}").alias(c) for c in old.columns])
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = F.struct(F.col(version), F.col("_new"), F.xxhash64(F.to_json(F.struct(*names))))
+    first = F.min_by(F.struct(*[c for c in keep if c in names] or names[:1]), order)
+    latest = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("l"), first.alias("f"))
+    own = latest.select(*[F.col(key) if c == key else F.col(f"f.{c}" if c in keep else f"l.{c}").alias(c) for c in old.columns])
+    return own.unionByName(both.where(F.col(key).isNull()).select(*old.columns))
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -37,10 +43,23 @@ def expired(table: DataFrame, now: Column, expires: str = "expires_at") -> DataF
     return table.where(F.col(expires) <= now)
 
 
+def purge(table: DataFrame, now: Column, expires: str = "expires_at", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """What a janitor leaves of a table at ``now``, and the keys (key) that it takes, to be deleted elsewhere too."""
+    return active(table, now, expires), expired(table, now, expires).select(key)
+
+
 def find(table: DataFrame, address: str) -> DataFrame:
-    """The document at an address, by url before source_url, then the smallest id."""
-    hits = table.where((F.col("url") == address) | (F.col("source_url") == address))
-    return hits.orderBy((F.col("url") == address).desc(), "id").limit(1)
+    """The document at an address as it is written or in its canonical form: by url before source_url, by the
+    address as written before its canonical form, then the smallest id."""
+    forms = [address] + [x for x in [canonical(address)] if x and x != address]
+    places = [F.col(c) == f for c in ("url", "source_url") for f in forms]
+    rank = F.coalesce(*[F.when(p, F.lit(i)) for i, p in enumerate(places)])
+    return table.withColumn("_at", rank).where("_at is not null").orderBy("_at", "id").limit(1).drop("_at")
+
+
+def usage(log: DataFrame, tenant: str, amount: str) -> DataFrame:
+    """(tenant, tokens): whole tokens used by each tenant; rows without an amount use none."""
+    return log.groupBy(tenant).agg(F.coalesce(F.sum(F.floor(amount)), F.lit(0)).cast("long").alias("tokens"))
 
 
 def listing(table: DataFrame, limit: int, offset: int, by: str = "id") -> DataFrame:
@@ -49,10 +68,10 @@ def listing(table: DataFrame, limit: int, offset: int, by: str = "id") -> DataFr
     return ordered.limit(limit) if limit > 0 else ordered
 
 
-def evict_jobs(jobs: DataFrame, now: Column, most: int = 1000, seconds: int = 3600) -> DataFrame:
-    """Jobs that stay: unfinished ones, and of those finished within ``seconds`` the ``most`` latest in all."""
+def evict_jobs(jobs: DataFrame, now: Column, most: int | None = 1000, seconds: int = 3600) -> DataFrame:
+    """Jobs that stay: unfinished ones, and of those finished within ``seconds`` the ``most`` latest in all (None: all)."""
     alive = jobs.where(F.col("finished_at").isNull() | (F.col("finished_at") > now - F.expr(f"INTERVAL {seconds} SECONDS")))
-    return alive.orderBy(F.col("created_at").desc(), "job_id").limit(most)
+    return alive if most is None else alive.orderBy(F.col("created_at").desc(), "job_id").limit(most)
 
 
 def recent(log: DataFrame, key: str, order: str, value: str, n: int = 10) -> DataFrame:
@@ -106,7 +125,7 @@ def unique_requests(requests: DataFrame) -> DataFrame:
     return own.dropDuplicates(["provider", "_q", "k"]).drop("_q")
 
 
-def cached(entries: DataFrame, now: Column, hours: int = 24, most: int = 10_000, at: str = "fetched_at", key: str = "domain") -> DataFrame:
-    """Cache entries that are still fresh; of those the ``most`` latest."""
+def cached(entries: DataFrame, now: Column, hours: int = 24, most: int | None = 10_000, at: str = "fetched_at", key: str = "domain") -> DataFrame:
+    """Cache entries that are still fresh; of those the ``most`` latest (None: all)."""
     fresh = entries.where(F.col(at) > now - F.expr(f"INTERVAL {hours} HOURS"))
-    return fresh.orderBy(F.col(at).desc(), key).limit(most)
+    return fresh if most is None else fresh.orderBy(F.col(at).desc(), key).limit(most)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from ..functions.constants import RRF_K, STOPWORDS, TOKEN_TRIM, B, K1  # noqa: F401
 from ..functions.numbers import half_away
 from ..functions.text import fields, is_stopword, stem, stemmed, tokens, trimmed
-from .index import Index
+from .graph import cut
+from .index import BLOCK, Index, bucket_of
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -64,12 +65,109 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, stem: bool = False)
     return top_k(scores(docs, queries, stem), k)
 
 
+#: Distinct query terms up to which the scan gets them as a list; more terms are pruned by bucket only.
+LISTED = 256
+
+
+#: Rows of query terms that are held as a local table, so that their size is known; more stay distributed.
+HELD = 200_000
+
+
+def _wanted(index: Index, queries: DataFrame, stem: bool) -> tuple[DataFrame, Column, float]:
+    """(query_id, term, times, weight) of the terms that the index has, a filter for scans, and the mean length.
+
+    The filter is made of the terms' buckets, as many as the index has at most, and of the terms if they are few."""
+    stats, wanted = index.stats.first(), query_terms(queries, stem).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    held = wanted.limit(HELD + 1).toArrow()
+    if held.num_rows <= HELD:
+        wanted = wanted.sparkSession.createDataFrame(held)
+        buckets, terms = (held.column(c).unique().to_pylist() for c in ("bucket", "term"))
+    else:
+        buckets, terms = list(range(index.buckets)), []
+    here = F.col("bucket").isin(buckets) if len(buckets) < index.buckets else F.lit(True)
+    if held.num_rows <= HELD and len(terms) <= LISTED:
+        here = here & F.col("term").isin(terms)
+    weight = idf(F.lit(stats["n_docs"]), F.col("df")).alias("weight")
+    weighed = index.terms.where(here).select("term", "df").join(wanted, "term").select("query_id", "term", "times", weight)
+    if held.num_rows <= HELD:
+        weighed = weighed.sparkSession.createDataFrame(weighed.toArrow())
+    return weighed, here, float(stats["avgdl"])
+
+
+def _scored(post: DataFrame, wanted: DataFrame, avgdl: float) -> DataFrame:
+    """(query_id, doc_id, score, match_count): the sums over the postings of each query's terms; scores have 3 digits."""
+    part = F.col("times") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.lit(avgdl))
+    summed = post.join(wanted, [c for c in ("query_id", "term", "block") if c in post.columns and c in wanted.columns])
+    own = summed.withColumn("part", part).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.sum("times").alias("match_count"))
+    return own.withColumn("score", half_away(F.col("score"), 3))
+
+
 def search_index(index: Index, queries: DataFrame, k: int = 10, stem: bool = True) -> DataFrame:
-    """The same over a built or loaded index."""
-    wanted = query_terms(queries, stem)
-    matched = index.postings.select("term", "doc_id", "tf").join(wanted, "term").join(index.terms.select("term", "df"), "term").join(index.doc_len, "doc_id", "left")
-    matched = matched.withColumn("dl", F.coalesce("dl", F.lit(0)))
-    return top_k(score_terms(matched, index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()), k)
+    """The same over a built or loaded index: only postings of the queries' terms are read, and each has what its
+    score needs but the term's weight."""
+    wanted, here, avgdl = _wanted(index, queries, stem)
+    return top_k(_scored(index.postings.where(here).select("term", "doc_id", "tf", "dl"), wanted, avgdl), k)
+
+
+def block_bounds(index: Index, queries: DataFrame, stem: bool = True) -> DataFrame:
+    """(query_id, block, bound): the most that a document of a block can score."""
+    wanted, here, avgdl = _wanted(index, queries, stem)
+    return _block_bounds(index, wanted, here, avgdl)
+
+
+def _block_bounds(index: Index, wanted: DataFrame, here: Column, avgdl: float) -> DataFrame:
+    most = F.col("times") * bm25(F.col("weight"), F.col("max_tf"), F.col("min_len"), F.lit(avgdl))
+    return index.bounds.where(here).join(wanted, "term").withColumn("most", most).groupBy("query_id", "block").agg(F.sum("most").alias("bound"))
+
+
+def block_max_top(index: Index, queries: DataFrame, k: int = 10, stem: bool = True, probes: int = 2, block: int = BLOCK) -> DataFrame:
+    """The k best documents by block bounds (WAND), equal to :func:`search_index`.
+
+    Blocks are ranges of ids, the same for all terms, so a block's bound is the
+    sum of its terms' bounds. Of each query the documents of the ``probes`` * k
+    blocks with the highest bounds are scored; their k-th score is a floor, and
+    only blocks whose bound reaches it (or that tie with it once rounded) are
+    scored to the end. Other blocks' postings are dropped before they are summed."""
+    if k <= 0:
+        return search_index(index, queries, 0, stem)
+    wanted, here, avgdl = _wanted(index, queries, stem)
+    bounds = cut(_block_bounds(index, wanted, here, avgdl))
+    post = index.postings.where(here).select("term", "doc_id", "tf", "dl", F.floor(F.col("doc_id") / block).alias("block"))
+    in_blocks = lambda chosen: _scored(post, wanted.join(chosen, "query_id"), avgdl)
+    best = top_k(bounds, probes * k, by="bound", tie="block").select("query_id", "block")
+    floor = top_k(in_blocks(best), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    kept = bounds.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 0.000501))
+    return top_k(in_blocks(kept.select("query_id", "block")), k)
+
+
+def sharded_search(post: DataFrame, lengths: DataFrame, shard: Column, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, shard, doc_id, score, match_count, rank): the k best of each query in each shard, by the shard's own
+    document frequencies and mean length, as shards that don't know of each other give them."""
+    wanted = query_terms(queries)
+    own = post.select("term", "doc_id", "tf", "dl").withColumn("shard", shard).join(wanted, "term")
+    df = post.select("term", "doc_id").withColumn("shard", shard).groupBy("shard", "term").agg(F.count("*").alias("df"))
+    stats = lengths.withColumn("shard", shard).groupBy("shard").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    part = F.col("times") * bm25(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    summed = own.join(df, ["shard", "term"]).join(stats, "shard").withColumn("part", part).groupBy("query_id", "shard", "doc_id")
+    scored = summed.agg(F.sum("part").alias("score"), F.sum("times").alias("match_count")).withColumn("score", half_away(F.col("score"), 3))
+    order = Window.partitionBy("query_id", "shard").orderBy(F.col("score").desc(), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: By surface: results where none are asked for, and the most; the same for offsets of pages.
+LIMITS = {"search": (5, 100), "web": (5, 50), "autocomplete": (10, 50), "cluster": (10, None)}
+
+
+def clamped(k: int | None, surface: str = "search") -> int:
+    """The number of results that a surface gives for ``k``."""
+    default, most = LIMITS[surface]
+    own = default if k is None or k <= 0 else k
+    return own if most is None else min(own, most)
+
+
+def fetched(k: int, surface: str = "search", offset: int = 0) -> int:
+    """How many results of each kind are fetched before they are fused."""
+    return {"cli": max(10, 2 * k), "tools": max(10, k), "pages": offset + k}.get(surface, 2 * k)
 
 
 def page(ranked: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:

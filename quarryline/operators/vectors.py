@@ -80,13 +80,15 @@ def int8_dot(query: Column, q: Column) -> Column:
     return dot(query, F.transform(q["d"], lambda x: x.cast("double"))) * q["s"].cast("double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, positive_only: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, positive_only: bool = True, unit_vectors: bool = True, floor: float | None = None) -> DataFrame:
     """(query_id, doc_id, similarity, rank): exact nearest neighbours.
 
     The queries (query_id, v) are a stated set, compared in blocks with all of
     ``vectors`` (doc_id, v): a block is a matrix that is broadcast, each task
     keeps its k best of each query, and the k best of those are ranked. What is
-    exchanged is k rows per query and task."""
+    exchanged is k rows per query and task. Without ``unit_vectors`` those of
+    ``vectors`` are taken as they are. Without ``positive_only`` all similarities
+    count, as in stores that drop none; ``floor`` lifts lower ones to it."""
     spark = vectors.sparkSession
     numbered = queries.select("query_id", doubles(F.col("v")).alias("v"))
     n = numbered.count()
@@ -97,7 +99,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 40
         if not rows:
             continue
         held = spark.sparkContext.broadcast(([r.query_id for r in rows], _units(np.array([r.v for r in rows], float))))
-        found = _best(vectors, held, k, positive_only)
+        found = _best(vectors, held, k, positive_only, unit_vectors, floor)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "query_id long, doc_id long, similarity double")
@@ -109,7 +111,7 @@ def _units(m: np.ndarray) -> np.ndarray:
     return np.divide(m, lengths, out=np.zeros_like(m), where=lengths > 0)
 
 
-def _best(vectors: DataFrame, held, k: int, positive_only: bool) -> DataFrame:
+def _best(vectors: DataFrame, held, k: int, positive_only: bool, unit_vectors: bool, floor: float | None) -> DataFrame:
     def run(batches):
         ids, matrix = held.value
         keep: pd.DataFrame | None = None
@@ -117,8 +119,11 @@ def _best(vectors: DataFrame, held, k: int, positive_only: bool) -> DataFrame:
             batch = batch[batch["v"].notna()]
             if not len(batch):
                 continue
-            scores = _units(np.stack(batch["v"].to_numpy()).astype(float)) @ matrix.T
+            own = np.stack(batch["v"].to_numpy()).astype(float)
+            scores = (_units(own) if unit_vectors else own) @ matrix.T
             scores = np.sign(scores) * np.floor(np.abs(np.clip(scores, -1, 1)) * 1e4 + 0.5) / 1e4
+            if floor is not None:
+                scores = np.maximum(scores, floor)
             if positive_only:
                 scores = np.where(scores > 0, scores, -np.inf)
             # Whatever reaches the k-th best score, ties with it too, is ranked.

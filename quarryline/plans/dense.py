@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import half_away, half_away_sql
+from ..functions.numbers import clamp, half_away, half_away_sql
 from ..functions.text import embedding
 from ..operators import fusion as S
 from ..operators import ranking as R
 from ..operators import vectors as V
-from .lexical import BENCH, SCORES, STOP, TOKENS, bench_queries
-from .registry import query, table
+from .lexical import BENCH, SCORES, STOP, TOKENS, TRIM, bench_queries, fields_sql
+from .registry import query, stored_index, table
 
 VEC = "v AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
@@ -88,34 +88,16 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Recall at 10 of int8 against exact search; the queries are a stated set."""
     exact = V.nearest(vectors(spark, d), vector_queries(spark, d), 10)
     codes = vectors(spark, d).select("doc_id", V.dequantize(V.quantize(F.col("v"))).alias("v"))
-    asked = vector_queries(spark, d).select("query_id", V.unit(F.col("v")).alias("u"))
-    found = R.top_k(_against(codes, asked).where("similarity > 0"), 10, by="similarity").select("query_id", "doc_id", F.lit(1).alias("hit"))
+    found = V.nearest(codes, vector_queries(spark, d), 10, unit_vectors=False).select("query_id", "doc_id", F.lit(1).alias("hit"))
     return exact.select("query_id", "doc_id").join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg((F.count("hit") / 10.0).alias("recall"))
 
 
-def _against(codes: DataFrame, asked: DataFrame) -> DataFrame:
-    """Similarities of stated queries to all vectors, as they are (no second normalization)."""
-    held = codes.sparkSession.sparkContext.broadcast([(r.query_id, list(r.u)) for r in asked.collect()])
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        ids = [q for q, _ in held.value]
-        matrix = np.array([u for _, u in held.value])
-        for batch in batches:
-            if len(batch) and len(ids):
-                scores = np.stack(batch["v"].to_numpy()) @ matrix.T
-                scores = np.sign(scores) * np.floor(np.abs(scores) * 1e4 + 0.5) / 1e4
-                yield pd.DataFrame({"query_id": np.tile(ids, len(batch)), "doc_id": np.repeat(batch["doc_id"].to_numpy(), len(ids)), "similarity": scores.ravel()})
-
-    return codes.mapInPandas(run, "query_id long, doc_id long, similarity double")
-
-
-#: Lexical ranks by BM25; dense ranks by a stand-in that SQL can compute, 1 / (1 + |doc_id mod 97 - query_id mod 97|).
+#: Lexical ranks by BM25 of the benchmark's texts; dense ranks by cosine, the query's vector being that of its number.
 LEX = f"{TOKENS}, {BENCH}, {SCORES}, lex AS (SELECT * FROM ranked WHERE rank <= 20)"
-DEN = f"""pairs AS (SELECT query_id, doc_id, {half_away_sql("1.0 / (1 + abs(doc_id % 97 - query_id % 97))", 4)} AS similarity FROM q, (SELECT doc_id FROM documents)),
-den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM pairs) WHERE rank <= 20)"""
+NORMED = f"{VEC}, nv AS (SELECT doc_id, v, {NORM.format(v='v')} AS l FROM v)"
+DEN = f"""{NORMED}, pairs AS (SELECT a.doc_id AS query_id, b.doc_id, {half_away_sql(f"greatest(-1, least(1, {DOT.format(a='a.v', b='b.v')} / (a.l * b.l)))", 4)} AS similarity
+  FROM nv a JOIN q ON q.query_id = a.doc_id, nv b WHERE a.l > 0 AND b.l > 0),
+den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM pairs WHERE similarity > 0) WHERE rank <= 20)"""
 RRF = f"""fused AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, l.score AS bm25_score, v.similarity AS vector_similarity,
     CAST(l.rank AS INTEGER) AS bm25_rank, CAST(v.rank AS INTEGER) AS vector_rank,
     {half_away_sql("CASE WHEN l.score > 0 THEN CAST(1.0 AS DOUBLE) / (60 + l.rank) ELSE 0.0 END + coalesce(CAST(1.0 AS DOUBLE) / (60 + v.rank), 0.0)", 9)} AS raw
@@ -124,21 +106,18 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 RRF_COLUMNS = f"query_id, doc_id, {half_away_sql('raw', 5)} AS rrf_score, bm25_score, vector_similarity, bm25_rank, vector_rank, rank"
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(table(spark, d, "documents"), bench_queries(spark, d), 20)
+def _lexical(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    return R.search_index(stored_index(spark, d), bench_queries(spark, d), k, stem=False)
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    """The stand-in: each query's neighbours by residues, reached by an equi-join on the residue of the document."""
-    residues = spark.range(97).select(F.col("id").alias("r"))
-    asked = bench_queries(spark, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(96))).alias("r"))
-    near = asked.join(residues, "r").withColumn("similarity", half_away(1.0 / (1 + F.abs(F.col("r") - F.col("query_id") % 97)), 4))
-    own = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 97).alias("r"))
-    return R.top_k(own.join(near, "r").select("query_id", "doc_id", "similarity"), 20, by="similarity")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, v): the vectors that stand for the queries."""
+    own = vectors(spark, d).withColumnRenamed("doc_id", "query_id")
+    return own.join(bench_queries(spark, d).select("query_id"), "query_id", "left_semi")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return S.fuse(_lexical(spark, d), _dense(spark, d), 10)
+    return S.fuse(_lexical(spark, d), V.nearest(vectors(spark, d), _asked(spark, d), 20), 10)
 
 
 @query(f"WITH {LEX}, {DEN}, {RRF} SELECT {RRF_COLUMNS} FROM hits")
@@ -152,56 +131,79 @@ def hybrid_mode_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LEX}, {DEN}, {RRF}, t AS (SELECT h.query_id, h.doc_id, h.rank AS original_rank, {half_away_sql("h.raw", 5)} AS rrf_score, lower(q.query) AS qq, lower(substr(dd.text, 1, 60)) AS title,
-      lower(concat(substr(dd.text, 1, 60), ' ', substr(dd.text, 61, 200))) AS both_texts FROM hits h JOIN q USING (query_id) JOIN documents dd USING (doc_id)),
+    f"""WITH {LEX}, {DEN}, {RRF}, t AS (SELECT h.query_id, h.doc_id, h.rank AS original_rank, {half_away_sql("h.raw", 5)} AS rrf_score, lower(q.query) AS qq, lower(dd.source) AS title,
+      lower(concat_ws(' ', dd.source, dd.text)) AS both_texts FROM hits h JOIN q USING (query_id) JOIN documents dd USING (doc_id)),
     w AS (SELECT *, list_filter(list_filter(regexp_split_to_array(qq, '\\s+'), lambda w: w <> ''), lambda w: w NOT IN ({STOP})) AS ws FROM t),
     b AS (SELECT *, {half_away_sql("coalesce(list_sum(list_transform(ws, lambda w: CASE WHEN contains(both_texts, w) THEN 1.5 ELSE 0 END + CASE WHEN contains(title, w) THEN 2.0 ELSE 0 END)), 0)", 2)} AS boost FROM w),
     r AS (SELECT query_id, doc_id, original_rank, {half_away_sql("(100 * rrf_score + boost)", 3)} AS rerank_score FROM b)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rank FROM r) WHERE rank <= 5"""
 )
 def rerank_boost(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 200).alias("snippet"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("snippet"))
     hits = _fused(spark, d).select("query_id", "doc_id", "rrf_score", "rank").join(docs, "doc_id").join(bench_queries(spark, d), "query_id")
     return S.rerank(hits, 5).select("query_id", "doc_id", "original_rank", "rerank_score", "rank")
 
 
 @query(
-    f"""WITH {LEX}, sh AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id, doc_id % 4 ORDER BY score DESC, doc_id) AS rank FROM scored),
-    rr AS (SELECT query_id, doc_id, {half_away_sql("(CAST(1.0 AS DOUBLE) / (60 + rank))", 5)} AS rrf_score FROM sh WHERE rank <= 10)
+    f"""WITH {TOKENS}, {BENCH}, sp AS (SELECT *, doc_id % 4 AS shard FROM post),
+    qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, trim(unnest({fields_sql("lower(query)")}), '{TRIM}') AS term FROM q) WHERE term <> '' AND term NOT IN ({STOP}) GROUP BY query_id, term),
+    sdf AS (SELECT shard, term, count(*) AS df FROM sp GROUP BY shard, term),
+    ss AS (SELECT doc_id % 4 AS shard, count(*) AS n, avg(len(r)) AS avgdl FROM raw GROUP BY 1),
+    sc AS (SELECT query_id, shard, doc_id, {half_away_sql("sum(times * ln(greatest(n - df + 0.5, 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))", 3)} AS score
+      FROM sp JOIN sdf USING (shard, term) JOIN ss USING (shard) JOIN qt USING (term) GROUP BY query_id, shard, doc_id),
+    sh AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, doc_id) AS rank FROM sc),
+    rr AS (SELECT query_id, doc_id, {half_away_sql("(CAST(1.0 AS DOUBLE) / (60 + rank))", 5)} AS rrf_score FROM sh WHERE rank <= 20)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM rr) WHERE rank <= 10"""
 )
 def scatter_gather_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks within four shards, merged by the best score of each document."""
-    every = R.scores(table(spark, d, "documents"), bench_queries(spark, d))
-    top = S.shard_top(every, F.col("doc_id") % 4, 10)
-    return S.gather(top.withColumn("rrf_score", half_away(1.0 / (60 + F.col("rank")), 5)), 10)
+    """Four shards rank by their own statistics; the best score of each document counts."""
+    own = stored_index(spark, d)
+    top = R.sharded_search(own.postings, own.doc_len, F.col("doc_id") % 4, bench_queries(spark, d), R.fetched(10))
+    return S.gather(top.select("query_id", "doc_id", half_away(1.0 / (60 + F.col("rank")), 5).alias("rrf_score")), R.clamped(None, "cluster"))
 
 
 @query(
-    f"""WITH {LEX}, cand AS (SELECT * FROM ranked WHERE rank <= 100),
-    pairs AS (SELECT query_id, doc_id, {half_away_sql("1.0 / (1 + abs(doc_id % 97 - query_id % 97))", 4)} AS similarity FROM cand),
-    den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM pairs) WHERE rank <= 10),
+    f"""WITH {LEX}, cand AS (SELECT * FROM ranked WHERE rank <= 100), {VEC}, {INT8},
+    pairs AS (SELECT cand.query_id, cand.doc_id, {half_away_sql("greatest(-1, least(1, list_sum(list_transform(list_zip(a.u, b.c), lambda p: p[1] * p[2])) * CAST(b.s AS DOUBLE)))", 4)} AS similarity
+      FROM cand JOIN u a ON a.doc_id = cand.query_id JOIN c b ON b.doc_id = cand.doc_id),
+    den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM pairs WHERE similarity > 0) WHERE rank <= 10),
     {RRF.replace("FROM lex l", "FROM cand l")} SELECT {RRF_COLUMNS} FROM hits"""
 )
 def two_stage_rescore(spark: SparkSession, d: str) -> DataFrame:
-    lexical = R.search(table(spark, d, "documents"), bench_queries(spark, d), 100)
-    near = lexical.select("query_id", "doc_id", half_away(1.0 / (1 + F.abs(F.col("doc_id") % 97 - F.col("query_id") % 97)), 4).alias("similarity"))
+    """The 100 best by BM25, those of them that have a vector scored by int8, both fused."""
+    lexical = _lexical(spark, d, 100)
+    codes = vectors(spark, d).select("doc_id", V.quantize(F.col("v")).alias("code"))
+    asked = _asked(spark, d).select("query_id", V.unit(F.col("v")).alias("u"))
+    pairs = lexical.select("query_id", "doc_id").join(codes, "doc_id").join(asked, "query_id")
+    near = pairs.select("query_id", "doc_id", half_away(clamp(V.int8_dot(F.col("u"), F.col("code")), -1.0, 1.0), 4).alias("similarity"))
     return S.two_stage(lexical, near, 10)
 
 
+@query(
+    f"""WITH {LEX}, {DEN}, {RRF}, h AS (SELECT {RRF_COLUMNS} FROM hits)
+    SELECT h.*, coalesce(nullif(dd.source, ''), CAST(h.doc_id AS VARCHAR)) AS title, dd.lang AS lang FROM h JOIN documents dd USING (doc_id)"""
+)
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Stored index and stored vectors, twice as many hits of each kind as are asked for, fused, then their metadata."""
+    title = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.col("doc_id").cast("string"))
+    about = table(spark, d, "documents").select("doc_id", title.alias("title"), "lang")
+    return _fused(spark, d).join(about, "doc_id")
+
+
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = table(spark, d, "documents"), bench_queries(spark, d)
-    lexical = R.search(docs, queries, 20, stem=True)
+    lexical = R.search_index(stored_index(spark, d, stem=True), queries, 20, stem=True)
     vec = docs.select("doc_id", embedding(F.col("text")).alias("v"))
     return S.fuse(lexical, V.nearest(vec, queries.select("query_id", embedding(F.col("query")).alias("v")), 20), 10)
 
 
 @query(None)
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+def hybrid_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search by stems and hashed n-grams, embedded on the fly."""
     return _hybrid(spark, d)
 
 
 @query(None)
 def agentic_synthesis(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 120).alias("snippet"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("snippet"))
     return S.synthesize(_hybrid(spark, d).where("rank <= 3").join(docs, "doc_id"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import STOPWORDS
-from ..functions.numbers import half_away_sql
+from ..functions.numbers import half_away, half_away_sql
 from ..operators import index as I
 from ..operators import ranking as R
-from .registry import query, table
+from .registry import query, stored_index, table
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 TRIM = ".,!?:;\"''()[]{}"
@@ -81,24 +81,36 @@ def vocab_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TOKENS}, {ONE}, {SCORES} SELECT {', '.join(HITS)} FROM ranked WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(table(spark, d, "documents"), one_query(spark), 10).select(*HITS)
+    return R.search_index(stored_index(spark, d), one_query(spark), 10, stem=False).select(*HITS)
 
 
 @query(f"WITH {TOKENS}, {BENCH}, {SCORES} SELECT {', '.join(HITS)} FROM ranked WHERE rank <= 10")
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(table(spark, d, "documents"), bench_queries(spark, d), 10).select(*HITS)
+    return R.search_index(stored_index(spark, d), bench_queries(spark, d), 10, stem=False).select(*HITS)
 
 
 @query(f"WITH {TOKENS}, {BENCH}, {SCORES} SELECT {', '.join(HITS)} FROM ranked WHERE rank > 10 AND rank <= 20")
 def bm25_paged(spark: SparkSession, d: str) -> DataFrame:
-    ranked = R.search(table(spark, d, "documents"), bench_queries(spark, d), 20)
+    ranked = R.search_index(stored_index(spark, d), bench_queries(spark, d), 20, stem=False)
     return R.page(ranked, 10, 10).select(*HITS)
 
 
 @query(f"WITH {TOKENS}, {BENCH}, {SCORES} SELECT {', '.join(HITS)} FROM ranked WHERE rank <= 5")
 def wand_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Block-pruned retrieval gives what scoring everything gives; here it is the same plan over a built index."""
-    return R.search_index(I.build(table(spark, d, "documents"), stem=False), bench_queries(spark, d), 5, stem=False).select(*HITS)
+    """Retrieval by block bounds gives what scoring everything gives."""
+    return R.block_max_top(stored_index(spark, d), bench_queries(spark, d), 5, stem=False).select(*HITS)
+
+
+UPPER = "times * ln(greatest(n - df + 0.5, 0.5) / (df + 0.5) + 1) * max_tf * 2.2 / (max_tf + 1.2 * (1 - 0.75 + 0.75 * min_len / avgdl))"
+
+
+@query(
+    f"""WITH {TOKENS}, {ONE}, {SCORES}, bl AS (SELECT term, CAST(floor(doc_id / 64.0) AS BIGINT) AS block, max(tf) AS max_tf, min(dl) AS min_len FROM post GROUP BY ALL)
+    SELECT query_id, block, {half_away_sql(f"sum({UPPER})", 6)} AS bound FROM bl JOIN df USING (term) JOIN qt USING (term), stats GROUP BY query_id, block"""
+)
+def block_upper_bounds(spark: SparkSession, d: str) -> DataFrame:
+    bounds = R.block_bounds(stored_index(spark, d), one_query(spark), stem=False)
+    return bounds.select("query_id", "block", half_away(F.col("bound"), 6).alias("bound"))
 
 
 @query(
@@ -111,7 +123,7 @@ def block_max_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return I.term_stats(T.tokens(table(spark, d, "documents"))).select("term", F.col("cf").alias("frequency"))
+    return stored_index(spark, d).terms.select("term", F.col("cf").alias("frequency"))
 
 
 @query(
@@ -132,7 +144,7 @@ def trie_node_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(table(spark, d, "documents"), bench_queries(spark, d), 10, stem=True).select(*HITS)
+    return R.search_index(stored_index(spark, d, stem=True), bench_queries(spark, d), 10, stem=True).select(*HITS)
 
 
 @query(None)
@@ -140,7 +152,7 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
     """Highlighted passages of the best hits only: ranking first, texts afterwards."""
     docs, queries = table(spark, d, "documents"), bench_queries(spark, d)
     words = queries.select("query_id", F.filter(T.fields(F.lower("query")), lambda w: ~T.is_stopword(w)).alias("words"))
-    best = R.search(docs, queries, 3).join(docs.select("doc_id", "text"), "doc_id").join(words, "query_id")
+    best = R.search_index(stored_index(spark, d), queries, 3, stem=False).join(docs.select("doc_id", "text"), "doc_id").join(words, "query_id")
     return best.select("query_id", "doc_id", "score", R.snippet(F.col("text"), F.col("words")).alias("snippet"))
 
 

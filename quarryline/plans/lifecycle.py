@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
-from ..operators.graph import LOCAL_CHECKPOINTS
+from ..operators.graph import shared_dir
 from ..streaming import ingest
 from .registry import query, table
 
@@ -85,7 +85,7 @@ def tenant_quota(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY event_type")
 def tenant_usage(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("event_type").agg(F.sum(F.floor("value")).cast("long").alias("tokens"))
+    return L.usage(events(spark, d), "event_type", "value")
 
 
 @query(
@@ -124,10 +124,35 @@ def session_bursts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS BIGINT) AS dl FROM documents")
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a stream of messages, upserted batch by batch into an index; its document lengths."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents")
     docs.select(F.to_json(F.struct("doc_id", "text", F.lit(1).alias("version"))).alias("value")).write.text(f"{folder}/in")
     raw = spark.readStream.schema("value string").option("maxFilesPerTrigger", 64).text(f"{folder}/in")
     run = ingest.messages(raw).writeStream.foreachBatch(ingest.upsert_index(f"{folder}/index")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return ingest.current_index(spark, f"{folder}/index")[1]
+    return ingest.current_index(spark, f"{folder}/index")[1].select("doc_id", "dl")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS version,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS BIGINT) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS dl FROM documents"""
+)
+def stream_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of messages with a merge between and behind them; for two documents of three the second batch brings an
+    older version, which must change nothing."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    run = ingest.upsert_index(folder)
+    run(docs.withColumn("version", F.lit(2)), 0)
+    ingest.compact(spark, folder)
+    run(docs.select("doc_id", F.concat("text", F.lit(" late message")).alias("text"), F.when(F.col("doc_id") % 3 == 0, 3).otherwise(1).alias("version")), 1)
+    ingest.compact(spark, folder)
+    return ingest.current_index(spark, folder)[1].select("doc_id", "version", "dl")
+
+
+@query("SELECT event_id FROM events WHERE ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-15 00:00:00' OR event_id % 7 = 1")
+def janitor(spark: SparkSession, d: str) -> DataFrame:
+    """What a janitor leaves: the table without the keys that it hands on for deletion elsewhere."""
+    own = events(spark, d).select("event_id", F.when(F.col("event_id") % 7 != 1, F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("expires_at"))
+    _, gone = L.purge(own, F.lit(NOW).cast("timestamp"), key="event_id")
+    return L.delete(own, gone, "event_id").select("event_id")

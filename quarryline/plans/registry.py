@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import index as I
+from ..operators.graph import shared_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -23,5 +27,40 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return keep
 
 
+#: Scanned bytes up to which a table of fewer files than cores is dealt to all cores.
+SPREAD_BYTES = 512 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A small one whose scan has fewer tasks than there are cores (one row group, say) is dealt by its
+    first column, for work on it would otherwise run in those few tasks; a table of more than SPREAD_BYTES never is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plan, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if not LEAST_SPREAD <= size <= SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
+#: Scanned bytes from which dealing is worth its exchange.
+LEAST_SPREAD = 1 << 20
+
+_indexes: dict[tuple[str, str, bool], tuple[str, I.Index]] = {}
+
+
+def _files(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: what a stored index was made from."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return ";".join(sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(folder)))
+
+
+def stored_index(spark: SparkSession, sf_dir: str, stem: bool = False) -> I.Index:
+    """The index of ``documents``: built and saved when a session first asks for it, then loaded, as long as the
+    table's files are the same."""
+    key, files = (spark.sparkContext.applicationId, sf_dir, stem), _files(spark, f"{sf_dir}/documents.parquet")
+    if _indexes.get(key, ("",))[0] != files:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        I.save(I.build(table(spark, sf_dir, "documents"), stem), path)
+        _indexes[key] = (files, I.load(spark, path))
+    return _indexes[key][1]

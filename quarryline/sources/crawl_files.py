@@ -9,13 +9,18 @@ from urllib.parse import parse_qs, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MEDIA_EXTENSIONS
 from ..functions.html import Node, tree
 
-MAX_SITEMAP_BYTES = 25 << 20
+#: Bytes of a sitemap that are read, and sitemap pages of a root that are kept; None takes all.
+MAX_SITEMAP_BYTES: int | None = 25 << 20
+#: The same for sitemaps by the protocol's own limit.
+PROTOCOL_SITEMAP_BYTES = 50 << 20
+#: Fixed value: the parameter in which the result pages' redirects carry their address.
+REDIRECT_PARAMETER = "uddg"
 
 
 def robots_rules(text: str) -> list[tuple[int, str, str]]:
@@ -47,12 +52,15 @@ def read_robots(files: DataFrame) -> DataFrame:
     return files.select("domain", "body").mapInPandas(run, "domain string, grp int, agent string, disallow string")
 
 
-def sitemap_urls(data: bytes) -> tuple[str, list[str]]:
-    """(urlset or sitemapindex, its http(s) addresses); gzip is seen by its magic. ValueError for anything else."""
+def sitemap_urls(data: bytes, most: int | None = MAX_SITEMAP_BYTES) -> tuple[str, list[str]]:
+    """(urlset or sitemapindex, its http(s) addresses); gzip is seen by its magic. ValueError for anything else,
+    and for one of more than ``most`` bytes."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     try:
-        root = ElementTree.fromstring(data[:MAX_SITEMAP_BYTES])
+        if most is not None and len(data) > most:
+            raise ValueError(f"no sitemap: it has more than {most} bytes")
+        root = ElementTree.fromstring(data)
     except (ElementTree.ParseError, EOFError) as e:
         raise ValueError(f"no sitemap: {e}") from e
     local = lambda e: e.tag.rpartition("}")[2].lower()
@@ -64,7 +72,7 @@ def sitemap_urls(data: bytes) -> tuple[str, list[str]]:
     return kind, [u for u in found if urlsplit(u).scheme in ("http", "https") and urlsplit(u).netloc]
 
 
-def read_sitemaps(files: DataFrame) -> DataFrame:
+def read_sitemaps(files: DataFrame, most: int | None = MAX_SITEMAP_BYTES) -> DataFrame:
     """(source, kind, url, error) of ``files`` (source, data binary); a file that is no sitemap gives a row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +80,7 @@ def read_sitemaps(files: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for source, data in zip(batch["source"], batch["data"], strict=True):
                 try:
-                    kind, urls = sitemap_urls(bytes(data or b""))
+                    kind, urls = sitemap_urls(bytes(data or b""), most)
                     rows += [(source, kind, u, None) for u in urls]
                 except (ValueError, OSError) as e:
                     rows.append((source, None, None, str(e)))
@@ -81,8 +89,9 @@ def read_sitemaps(files: DataFrame) -> DataFrame:
     return files.select("source", "data").mapInPandas(run, "source string, kind string, url string, error string")
 
 
-def sitemap_pages(files: DataFrame, roots: DataFrame, most: int = 50_000, nested: int = 2) -> DataFrame:
-    """(root, url) of pages under ``roots`` (root), whose index files are followed ``nested`` levels down among ``files``."""
+def sitemap_pages(files: DataFrame, roots: DataFrame, most: int | None = 50_000, nested: int = 2) -> DataFrame:
+    """(root, url) of pages under ``roots`` (root), whose index files are followed ``nested`` levels down among
+    ``files``; of each root the first ``most`` in order of addresses (None: all)."""
     rows = read_sitemaps(files).where("error is null").select("source", "kind", "url").cache()
     front = roots.select("root").withColumn("source", roots["root"])
     pages = None
@@ -91,21 +100,23 @@ def sitemap_pages(files: DataFrame, roots: DataFrame, most: int = 50_000, nested
         found = hits.where("kind = 'urlset'").select("root", "url")
         pages = found if pages is None else pages.union(found)
         front = hits.where("kind = 'sitemapindex'").select("root", hits["url"].alias("source"))
-    return pages.distinct().orderBy("root", "url").limit(most)
+    if most is None:
+        return pages.distinct()
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("url"))
+    return pages.distinct().withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
 
 
 def _classes(node: Node) -> set[str]:
     return set(node.attr("class").split())
 
 
-def redirect_target(href: str, engine: str) -> str | None:
-    """The address that a result link leads to: its redirect parameter, or itself if it is not the engine's own."""
+def redirect_target(href: str, engine: str, parameter: str = REDIRECT_PARAMETER) -> str | None:
+    """The address that a result link leads to: its redirect ``parameter``, or itself if it is not the engine's own."""
     href = href.strip()
     href = "https:" + href if href.startswith("//") else f"https://{engine}{href}" if href.startswith("/") else href
     try:
         part = urlsplit(href)
-        inner = [v for k, v in parse_qs(part.query).items() if re.fullmatch(r"u[a-z]*d[a-z]*|url|q", k)]
-        target = inner[0][0] if inner else href
+        target = parse_qs(part.query).get(parameter, [href])[0]
         own = urlsplit(target)
     except ValueError:
         return None

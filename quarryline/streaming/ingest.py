@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,66 +13,104 @@ from ..functions.text import tokens
 from ..operators.index import doc_lengths, postings
 
 MESSAGE = "doc_id long, text string, version long"
+UPDATE = "url string, title string, text string, version long"
 
 
-def messages(raw: DataFrame, schema: str = MESSAGE) -> DataFrame:
-    """Parsed messages of a stream with a ``value`` (Kafka's, or a file's lines); malformed ones are left out."""
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").where("doc_id is not null")
+def messages(raw: DataFrame, schema: str = MESSAGE, key: str = "doc_id") -> DataFrame:
+    """Parsed messages of a stream with a ``value`` (Kafka's, or a file's lines); malformed ones and those without a key are left out."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").where(F.col(key).isNotNull())
+
+
+def addressed(raw: DataFrame) -> DataFrame:
+    """The messages of a second stream, index updates by address (url, title, text, version): the document's number
+    follows from its address, so both streams may feed one index."""
+    own = messages(raw, UPDATE, "url")
+    return own.select(F.xxhash64("url").alias("doc_id"), F.concat_ws(" ", "title", "text").alias("text"), "version")
+
+
+def publish(docs: DataFrame, key: str, **kafka: str) -> None:
+    """``docs`` as JSON messages, keyed so that a key's messages stay in order; kafka: topic, bootstrap servers and
+    other options of the sink. Needs Spark's Kafka connector."""
+    sink = outgoing(docs, key).write.format("kafka").option("kafka.acks", "all")
+    for name, value in kafka.items():
+        sink = sink.option(name.replace("_", "."), value)
+    sink.save()
+
+
+def outgoing(docs: DataFrame, key: str) -> DataFrame:
+    """(key, value) of messages to be published."""
+    return docs.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*docs.columns)).alias("value"))
 
 
 def upsert_index(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: adds the batch's documents to the index at ``path``.
 
-    A batch writes its own postings and lengths as a version and then marks it
-    whole, so a batch that is run again overwrites only itself, readers never
+    A batch writes its own postings and lengths under its number and then marks
+    it whole, so a batch that is run again overwrites only itself, readers never
     see half of one, and the cost of a batch is its own size. Readers take each
-    document from its latest version, so all postings of a replaced document
-    go, also of terms that it no longer has. :func:`compact` merges versions."""
+    document from the batch that has its highest version, of equal versions from
+    the latest batch; so an old message that comes late changes nothing, and all
+    postings of a replaced document go. :func:`compact` merges batches."""
 
     def run(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("doc_id").agg(F.max_by("text", "version").alias("text"))
-        _write(path, number, postings(tokens(latest)), doc_lengths(latest))
+        latest = batch.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("version", F.lit(0)).alias("version"), "text")).alias("m"))
+        own = latest.select("doc_id", "m.text", "m.version")
+        lengths = doc_lengths(own).join(own.select("doc_id", "version"), "doc_id")
+        _write(f"{path}/v={number}", postings(tokens(own)), lengths)
 
     return run
 
 
-def _write(path: str, number: int, post: DataFrame, lengths: DataFrame) -> None:
-    post.write.mode("overwrite").parquet(f"{path}/v={number}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/v={number}/doc_len")
-    post.sparkSession.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{path}/v={number}/done")
+def _write(folder: str, post: DataFrame, lengths: DataFrame) -> None:
+    post.write.mode("overwrite").parquet(f"{folder}/postings")
+    lengths.write.mode("overwrite").parquet(f"{folder}/doc_len")
+    post.sparkSession.createDataFrame([(1,)], "n long").write.mode("overwrite").parquet(f"{folder}/done")
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of an index that are whole."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def _whole(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the folders ``kind``=number of an index that are whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return []
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop(f"{path}/{n}/done/_SUCCESS")))
+    return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and fs.exists(hadoop(f"{path}/{n}/done/_SUCCESS")))
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The folders that make up an index: the latest merged one, and the batches since."""
+    merged = _whole(spark, path, "m")[-1:]
+    since = [v for v in _whole(spark, path, "v") if not merged or v > merged[0]]
+    return [*(f"m={m}" for m in merged), *(f"v={v}" for v in since)]
 
 
 def current_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_len): each document as its latest version has it."""
-    whole = versions(spark, path)
-    read = lambda name: reduce(DataFrame.unionByName, (spark.read.parquet(f"{path}/v={v}/{name}").withColumn("v", F.lit(v)) for v in whole))
-    latest = read("doc_len").groupBy("doc_id").agg(F.max_by("dl", "v").alias("dl"), F.max("v").alias("v"))
-    return read("postings").join(latest.select("doc_id", "v"), ["doc_id", "v"], "left_semi").drop("v"), latest.select("doc_id", "dl")
+    """(postings, doc_len): each document as its highest version has it. However many batches there are, the plan scans one table."""
+    folders = versions(spark, path)
+    if not folders:
+        raise FileNotFoundError(f"no index at {path}")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/[vm]=(\d+)/", 1).cast("long")
+    read = lambda name: spark.read.parquet(*(f"{path}/{f}/{name}" for f in folders)).withColumn("batch", number)
+    latest = read("doc_len").groupBy("doc_id").agg(F.max_by(F.struct("dl", "version", "batch"), F.struct("version", "batch")).alias("l")).select("doc_id", "l.*")
+    return read("postings").join(latest.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch"), latest.drop("batch")
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """Writes what all versions say as the latest of them and removes the others;
-    between batches only. What a broken run has merged is whole under ``merged``."""
-    whole = versions(spark, path)
-    post, lengths = current_index(spark, path)
-    _write(f"{path}/merged", whole[-1], post, lengths)
+    """Writes what all batches say as one merged folder; between batches only.
+
+    The merged folder counts once it is whole, and nothing that it replaces is
+    deleted before: what an earlier merge replaced goes now, what this one
+    replaces goes with the next, so readers with open plans find their files."""
+    batches, before = _whole(spark, path, "v"), _whole(spark, path, "m")[-1:]
+    if not batches or before == [batches[-1]]:
+        return
+    _write(f"{path}/m={batches[-1]}", *current_index(spark, path))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for v in whole:
-        fs.delete(hadoop(f"{path}/v={v}"), True)
-    fs.rename(hadoop(f"{path}/merged/v={whole[-1]}"), hadoop(f"{path}/v={whole[-1]}"))
-    fs.delete(hadoop(f"{path}/merged"), True)
+    if before:
+        for old in [*(f"v={v}" for v in batches if v <= before[0]), *(f"m={m}" for m in _whole(spark, path, "m") if m < before[0])]:
+            fs.delete(hadoop(f"{path}/{old}"), True)
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:

@@ -87,7 +87,7 @@ def test_url_columns(spark):
     assert column(spark, ["https://x/docs/archive/v1/page.html", "https://x/docs", "https://x/"], U.subtree) == ["/docs/archive/", "/docs/", "/"]
     assert column(spark, ["https://x/login", "https://x/blog/tag/golang", "https://x/api/cartesian-product"], U.is_negative) == [True, True, False]
     assert column(spark, ["https://x/a.PNG", "https://x/a.png;v=1", "https://x/a.js", "https://x/font.woff2/"], U.is_media) == [True, True, False, True]
-    assert column(spark, ["10.1.2.3", "::1"], U.subnet) == ["10.1.2.0/24", "::1"]
+    assert column(spark, ["10.1.2.3", "::1", "2001:db8:1:2:3::4", "::ffff:10.1.2.3", "x:y", None], U.subnet) == ["10.1.2.0/24", "0:0:0:0::/64", "2001:db8:1:2::/64", "10.1.2.0/24", "x:y", None]
     assert column(spark, ["https://code.github.com/a", "https://github.com/org/repo/"], U.readme_url)[1] == "https://raw.githubusercontent.com/org/repo/master/README.md"
 
 
@@ -146,7 +146,7 @@ PAGE = """<html lang="en"><head><title>Test Page</title><meta name="pubdate" con
 
 
 def test_markdown():
-    md, n, title = H.to_markdown(PAGE, "https://example.com/x")
+    md, n, title, _ = H.to_markdown(PAGE, "https://example.com/x")
     assert title == "Test Page" and n == len(md.split())
     for part in ("# Main Title", "## Section 2", "[link](https://example.com/link)", "`inline code`", "- First item", "```\na\n b\n```", "leaf mail", "Kept", "- Two frag"):
         assert part in md
@@ -255,3 +255,57 @@ def test_result_pages():
     html = '<div class="result"><h2><a class="result__a" href="//engine.example/l/?uddg=https%3A%2F%2Fa.com%2Fx">A</a></h2><a class="result__snippet">text</a></div><div class="result"><a class="result__a" href="https://a.com/x">dup</a></div><div class="result"><a class="result__a" href="https://a.com/p.png">img</a></div>'
     assert S.result_rows(html, "engine.example") == [("A", "https://a.com/x", "text")]
     assert S.result_rows('<a href="https://b.com/">B</a><a href="/own">x</a>', "engine.example") == [("B", "https://b.com/", "")]
+
+
+def test_deep_documents_do_not_fail():
+    n = 10_000
+    deep = "<div>" * n + "x" + "</div>" * n
+    assert H.clean_page(deep)["links"] == [] and H.clean_page("<p>" + "<b>" * n + "word</p>")["body"] == "word"
+    for page in (deep, "<h1>" + "<b>" * n + "head", "<p>" + "<b>" * n + "text", "<table><tr><td>" + "<i>" * n + "cell"):
+        whole = H.to_markdown(page, limits=H.WHOLE)
+        assert whole[0].strip().endswith(("x", "head", "text", "|")) and whole[3] == ""
+    assert H.to_markdown(deep)[3] == "depth"
+    text, words, title, error = D.to_document("u", "application/json", b"[" * 200_000)
+    assert error is None and title == "u" and "[[[" in text
+    assert "x" in D.to_document("u", "text/xml", b"<a>" * n + b"x" + b"</a>" * n)[0]
+
+
+def test_limits_of_tables_are_told():
+    wide = "<table><tr>" + "".join(f"<td>{i}" for i in range(60)) + "</tr></table>"
+    cut, whole = H.to_markdown(wide), H.to_markdown(wide, limits=H.WHOLE)
+    assert cut[3] == "columns" and "| 49 |" in cut[0] and " 50 " not in cut[0].split("\n")[-1]
+    assert whole[3] == "" and "| 59 |" in whole[0]
+    tall = "<table>" + "".join(f"<tr><td>r{i}" for i in range(501)) + "</table>"
+    assert H.to_markdown(tall)[3] == "rows" and "r500" in H.to_markdown(tall, limits=H.WHOLE)[0]
+    long = f"<table><tr><td>{'y' * 1001}</table>"
+    assert H.to_markdown(long)[3] == "cell" and "y" * 1001 in H.to_markdown(long, limits=H.WHOLE)[0]
+    assert H.to_markdown("<p>a b c", count=len)[1] == len("# \n\na b c")
+
+
+def test_pdf_pages_name_their_contents():
+    shown = b"BT (" + b"these words stand on the page and there are more than fifteen of them so that it counts well) Tj ET"
+    hidden = b"BT (" + b"these words stand in a stream that no page names at all and so nobody ever sees them) Tj ET"
+    data = (
+        b"%PDF-1.4\n1 0 obj\n<< /Type /Page /Contents [4 0 R] >>\nendobj\n3 0 obj\n<< /Length 1 >>\nstream\n" + hidden
+        + b"\nendstream\nendobj\n4 0 obj\n<< /Length 1 >>\nstream\n" + shown + b"\nendstream\nendobj"
+    )
+    text, _ = D.pdf_text(data)
+    assert "on the page" in text and "nobody" not in text
+
+
+def test_lost_ligatures_come_back():
+    assert D.repair_ligatures("The rst gure is signicant and difcult, specically the eect; Ofce benets were dened") == (
+        "The first figure is significant and difficult, specifically the effect; Office benefits were dened"
+    )
+    assert D.repair_ligatures("specify the ice, real words in order and at ease") == "specify the ice, real words in order and at ease"
+
+
+def test_partitions_and_redirects(spark):
+    keys = ["a", "", None, "ключ", "long key " * 20]
+    assert column(spark, keys, X.partition_of) == [X.ring_hash(k or "") % 16 for k in keys]
+    assert column(spark, keys, lambda c: X.shard_of(c, 64)) == [X.fnv1a32((k or "").encode()) % 64 for k in keys]
+    engine = "engine.example"
+    target = lambda href: S.redirect_target(href, engine)
+    assert target(f"//{engine}/l/?uddg=https%3A%2F%2Fa.com%2Fx%3Fq%3D1") == "https://a.com/x?q=1"
+    assert target("https://a.com/search?q=abc") == "https://a.com/search?q=abc" and target("https://a.com/x?userid=5") == "https://a.com/x?userid=5"
+    assert target(f"https://{engine}/about") is None and S.redirect_target("https://a.com/?to=http://b.com/", engine, "to") == "http://b.com/"

@@ -79,11 +79,46 @@ def test_bm25_equals_plain_scoring(spark, stems):
 
 def test_index_snapshot(spark, tmp_path):
     _, docs = corpus(spark)
-    own = I.build(docs)
-    I.save(own, str(tmp_path / "i"), 3)
+    own = I.build(docs, buckets=3, slices=2)
+    I.save(own, str(tmp_path / "i"))
     back = I.load(spark, str(tmp_path / "i"))
-    for name in ("postings", "doc_len", "terms", "stats"):
-        assert getattr(back, name).exceptAll(getattr(own, name)).count() == 0
+    assert back.buckets == 3
+    for name in ("postings", "doc_len", "terms", "stats", "bounds"):
+        there, here = getattr(back, name), getattr(own, name)
+        assert there.select(*here.columns).exceptAll(here).count() == 0 and there.count() == here.count()
+
+
+def test_block_bounds_prune_and_change_nothing(spark):
+    """Retrieval by block bounds against scoring all, and no document above its block's bound."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(i * 3, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 120)))) for i in range(1500)] + [(9000, None), (9001, "")]
+    own = I.build(spark.createDataFrame(rows, "doc_id long, text string"), stem=False)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 4)))) for q in range(30)] + [(99, "nowhere"), (100, None)], "query_id long, query string")
+    for k in (1, 3, 10, 5000):
+        want = {(r.query_id, r.rank): (r.doc_id, r.score) for r in R.search_index(own, asked, k, stem=False).collect()}
+        assert {(r.query_id, r.rank): (r.doc_id, r.score) for r in R.block_max_top(own, asked, k, stem=False).collect()} == want
+    bounds = {(r.query_id, r.block): r.bound for r in R.block_bounds(own, asked, stem=False).collect()}
+    assert all(r.score <= bounds[r.query_id, r.doc_id // I.BLOCK] + 6e-4 for r in R.search_index(own, asked, 5000, stem=False).collect())
+    assert R.block_max_top(own, asked, 0, stem=False).count() == 0
+
+
+def test_shards_rank_by_their_own_statistics(spark):
+    docs = spark.createDataFrame([(0, "apple"), (2, "apple pear"), (4, "plum"), (1, "apple apple kiwi"), (3, "kiwi")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "apple")], "query_id long, query string")
+    own = I.build(docs, stem=False)
+    got = {r.doc_id: (r.shard, r.score) for r in R.sharded_search(own.postings, own.doc_len, F.col("doc_id") % 2, asked).collect()}
+    want = {}
+    for shard in (0, 1):
+        part = docs.where(F.col("doc_id") % 2 == shard)
+        want |= {r.doc_id: (shard, r.score) for r in R.search_index(I.build(part, stem=False), asked, 10, stem=False).collect()}
+    assert got == want and len(want) == 3
+
+
+def test_limits_by_surface():
+    assert [R.clamped(None), R.clamped(0), R.clamped(500), R.clamped(70, "web"), R.clamped(None, "cluster"), R.clamped(700, "cluster"), R.clamped(60, "autocomplete")] == [5, 5, 100, 50, 10, 700, 50]
+    assert [R.fetched(3), R.fetched(3, "cli"), R.fetched(8, "tools"), R.fetched(12, "tools"), R.fetched(10, "pages", 20)] == [6, 10, 10, 12, 30]
 
 
 def test_completion(spark):
@@ -268,8 +303,39 @@ def test_stream_upserts_replace_documents(spark, tmp_path):
     assert {r.doc_id: r.dl for r in lengths.collect()} == {1: 1, 2: 1}
     assert len(ingest.versions(spark, index)) == 2
     ingest.compact(spark, index)
-    post, _ = ingest.current_index(spark, index)
-    assert sorted((r.term, r.doc_id) for r in post.collect()) == [("alpha", 2), ("gamma", 1)] and len(ingest.versions(spark, index)) == 1
+    assert len(ingest.versions(spark, index)) == 1
+    # A reader that planned before a merge still finds its files; an older version in a later batch changes nothing, also after a merge.
+    assert sorted((r.term, r.doc_id) for r in post.collect()) == [("alpha", 2), ("gamma", 1)]
+    step('{"doc_id": 1, "text": "old again", "version": 1}', '{"doc_id": 2, "text": "delta", "version": 1}')
+    for _ in range(2):
+        post, _ = ingest.current_index(spark, index)
+        assert sorted((r.term, r.doc_id) for r in post.collect()) == [("delta", 2), ("gamma", 1)]
+        ingest.compact(spark, index)
+    assert ingest.versions(spark, index) == ["m=2"] and sorted(p.name for p in (tmp_path / "index").iterdir()) == ["m=1", "m=2", "v=2"]
+
+
+def test_updates_by_address(spark):
+    raw = spark.createDataFrame([('{"url": "http://h/1", "title": "T", "text": "one two", "version": 3}',), ('{"title": "no address"}',), ("no json",), (None,)], "value string")
+    rows = ingest.addressed(raw).collect()
+    assert [(r.text, r.version) for r in rows] == [("T one two", 3)] and rows[0].doc_id == spark.range(1).select(F.xxhash64(F.lit("http://h/1"))).first()[0]
+    sent = ingest.outgoing(spark.createDataFrame([(7, "x")], "doc_id long, text string"), "doc_id").first()
+    assert sent.key == "7" and sent.value == '{"doc_id":7,"text":"x"}'
+
+
+def test_upserts_keep_rows_without_a_key_and_order_ties(spark):
+    schema = "url string, version int, id int, body string"
+    old = spark.createDataFrame([("a", 1, 1, "old"), (None, 1, 2, "x"), ("b", 5, 3, "late")], schema)
+    new = spark.createDataFrame([("a", 1, 9, "new"), (None, 1, 8, "y"), ("b", 2, 7, "early"), ("c", None, 6, "c")], schema)
+    got = sorted((r.url or "", r.version or 0, r.id, r.body) for r in L.upsert(old, new, keep=("id",)).collect())
+    assert got == [("", 1, 2, "x"), ("", 1, 8, "y"), ("a", 1, 1, "new"), ("b", 5, 7, "late"), ("c", 0, 6, "c")]
+    assert L.upsert(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_documents_are_found_by_both_forms_of_an_address(spark):
+    rows = [(1, "http://h.com/a", None), (2, "x", "HTTP://H.com:80/a"), (3, "http://h.com/b", None)]
+    docs = spark.createDataFrame(rows, "id long, url string, source_url string")
+    assert [r.id for r in L.find(docs, "HTTP://H.com:80/a").collect()] == [1]
+    assert [r.id for r in L.find(docs, "http://h.com/b").collect()] == [3] and L.find(docs, "http://h.com/c").count() == 0
 
 
 def test_stateful_token_bucket(spark, tmp_path):
