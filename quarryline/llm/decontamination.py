@@ -52,6 +52,9 @@ SAMPLED = {8: 4, 16: 5, 32: 6}
 #: Bytes of benchmark texts that are broadcast at once.
 BLOCK_BYTES = 8 << 20
 AT_ONCE = 1 << 20
+#: Entries of the table of items' words, and candidates that are looked at together.
+MEMBERS = 1 << 22
+CANDIDATES = 1 << 16
 MULTIPLIER = W.U64(0x9FB21C651E98DF25)
 SCHEMA = "doc_id long, item_id long, edits int, similarity double, start_word long"
 
@@ -95,6 +98,11 @@ class Queries:
         self.items = [(items[i][0], ids[words.first[i] : words.first[i + 1]].tolist()) for i in range(len(items))]
         self.items = [x for x in self.items if x[1]]
         self.allowed = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
+        self.sizes_of, self.slack_of = (np.array(x, np.int64) for x in ([len(w) for _, w in self.items], self.allowed))
+        self.members = np.zeros(MEMBERS, bool)
+        if self.items:
+            own = np.repeat(np.arange(len(self.items)), self.sizes_of)
+            self.members[self._member(own, np.array([w for _, ws in self.items for w in ws], np.int64))] = True
         rng = np.random.default_rng(seed)
         longest = max([0, *(len(w) for _, w in self.items)])
         self.sizes = [s for s in SIZES if longest >= max(s, PIECED)]
@@ -115,6 +123,24 @@ class Queries:
             out[maybe] = np.where(self.vocabulary[spot] == h[maybe], spot + 1, 0)
         return out
 
+    @staticmethod
+    def _member(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place in ``members`` that stands for an item that has a word."""
+        mixed = (item.astype(W.U64) * MULTIPLIER + word.astype(W.U64)) * MULTIPLIER
+        return (mixed >> W.U64(64 - MEMBERS.bit_length() + 1)).astype(np.int64)
+
+    def _worth(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which candidates (item, the word at which it would begin, bounds of the text) may pass: an item with e
+        edits has all but e of its words in its place, so so many words there must be words of the item."""
+        slack = self.slack_of[item]
+        a, b = np.maximum(first, at - slack), np.minimum(last, at + self.sizes_of[item] + slack)
+        n = np.maximum(0, b - a)
+        begin = np.cumsum(n) - n
+        where = np.repeat(a - begin, n) + np.arange(int(n.sum()))
+        hit = np.zeros(len(where) + 1, np.int64)
+        np.cumsum(self.members[self._member(np.repeat(item, n), ids[where])] & (ids[where] > 0), out=hit[1:])
+        return hit[begin + n] - hit[begin] >= self.sizes_of[item] - slack
+
     def keys(self, x: np.ndarray, start: np.ndarray, t: int) -> dict[int, np.ndarray]:
         """By window size: the keys of repetition t of the windows at ``start``
         in x, word numbers with an end mark behind each text."""
@@ -207,19 +233,29 @@ class Queries:
         for begins, key, table, known, fits in probes():
             hit = np.flatnonzero(table[(key >> W.U64(44)).astype(np.int64)])
             low, high = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
-            for h, lo, hi in zip(hit[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                w = int(begins[h])
-                d = int(words.doc[w])
-                first, last = int(words.first[d]), int(words.first[d + 1])
-                for item, offset in fits[lo:hi].tolist():
-                    if best.get((d, item), (1,))[0] == 0 or (d, item, w - offset) in tried:
+            hit, low, high = (v[low < high] for v in (hit, low, high))
+            total, i = np.cumsum(high - low), 0
+            while i < len(hit):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CANDIDATES, "right")))
+                counts = (high - low)[i:j]
+                which = np.repeat(low[i:j] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+                item, begin = fits[which, 0], np.repeat(begins[hit[i:j]], counts)
+                d = words.doc[begin]
+                at = begin - fits[which, 1]
+                once = np.unique(np.stack([item, at, d]), axis=1, return_index=True)[1]
+                item, at, d = item[once], at[once], d[once]
+                keep = self._worth(ids, words.first[d], words.first[d + 1], item, at)
+                for t, p, k in zip(item[keep].tolist(), at[keep].tolist(), d[keep].tolist(), strict=True):
+                    if best.get((k, t), (1,))[0] == 0 or (k, t, p) in tried:
                         continue
-                    tried.add((d, item, w - offset))
-                    pattern, slack = self.items[item][1], self.allowed[item]
-                    a = max(first, w - offset - slack)
-                    e, end = edits(pattern, ids[a : min(last, w - offset + len(pattern) + slack)].tolist())
-                    if e <= slack and e < best.get((d, item), (e + 1,))[0]:
-                        best[d, item] = (e, max(0, a + end - len(pattern) - first))
+                    tried.add((k, t, p))
+                    first, last = int(words.first[k]), int(words.first[k + 1])
+                    pattern, slack = self.items[t][1], self.allowed[t]
+                    a = max(first, p - slack)
+                    e, end = edits(pattern, ids[a : min(last, p + len(pattern) + slack)].tolist())
+                    if e <= slack and e < best.get((k, t), (e + 1,))[0]:
+                        best[k, t] = (e, max(0, a + end - len(pattern) - first))
+                i = j
         return [(d, item, e, at) for (d, item), (e, at) in sorted(best.items())]
 
 
