@@ -23,13 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or LOCAL_CHECKPOINTS
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, release: bool = False) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; a lost executor
-    costs no recomputation."""
+    costs no recomputation. With ``release`` the driver collects its garbage
+    then: executors keep shuffle files until the driver finds that nothing
+    refers to them, which in a job of many rounds it may do too late."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if release:
+        sc._jvm.System.gc()
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

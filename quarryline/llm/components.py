@@ -35,10 +35,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     before = _mark(stars)
     while before[0]:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         joined = _smallest(large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(joined.select("u", F.col("m").alias("v"))).distinct()
-        stars = durable(small)
+        stars = durable(small, release=True)
         after = _mark(stars)
         if after == before:
             break

@@ -48,6 +48,8 @@ BITS = 64
 #: Variants that are sorted together, and texts' bytes that are hashed together.
 VARIANTS_AT_ONCE = 1 << 21
 AT_ONCE = 1 << 20
+#: Fingerprints that a task deals.
+AT_A_DEAL = 1 << 15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -218,9 +220,9 @@ def _meetings(marked: DataFrame, trials: int, radius: int, count: int, least_lea
         for batch in batches:
             node = np.asarray(batch.column("node")).view(U64)
             flat = np.asarray(batch.column("fps").flatten()).view(U64).reshape(-1, trials)
-            for a in range(0, len(node), 4096):
+            for a in range(0, len(node), 8192):
                 for t in range(trials):
-                    yield _dealt(np.ascontiguousarray(flat[a : a + 4096, t]), node[a : a + 4096], t, lead, flips)
+                    yield _dealt(np.ascontiguousarray(flat[a : a + 8192, t]), node[a : a + 8192], t, lead, flips)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -237,7 +239,9 @@ def _meetings(marked: DataFrame, trials: int, radius: int, count: int, least_lea
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, i].view(np.int64)) for i in (0, 1)], names=["src", "dst"])
 
-    dealt = marked.select("node", "fps").mapInArrow(deal, "part long, fps binary, nodes binary").repartition(parts, "part")
+    # Few large batches: the fingerprints of a batch that go to one leading part are one row.
+    packed = marked.select("node", "fps").coalesce(max(1, math.ceil(count / AT_A_DEAL))).mapInArrow(deal, "part long, fps binary, nodes binary")
+    dealt = packed.repartition(parts, "part")
     return dealt.mapInArrow(run, "src long, dst long")
 
 
@@ -338,7 +342,7 @@ def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     """(node, least, fp, bands) of each distinct sequence of words: least is the
     smallest doc_id that has it; texts without any id are left out."""
     marked = with_bands(docs, shingle, id_col, text_col).where("doc_id is not null")
-    return durable(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    return durable(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), release=True)
 
 
 def _met(own: DataFrame) -> DataFrame:
@@ -375,6 +379,14 @@ def _with_visits(pairs: DataFrame) -> DataFrame:
     return sits.union(visits).withColumn("component", F.col("node"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) of the linked texts: the leader's leader, or the leader. Texts of one label are connected;
+    connected ones may have different labels, then some of them are compared once more."""
+    leader = durable(links.groupBy("dst").agg(F.min("src").alias("unit")))
+    above = leader.select(F.col("dst").alias("unit"), F.col("unit").alias("above"))
+    return durable(leader.join(above, "unit", "left").select(F.col("dst").alias("node"), F.coalesce("above", "unit").alias("component")))
+
+
 def _strays(met: DataFrame, found: DataFrame) -> DataFrame:
     """(unit, node, component, visits) of the bands in which texts of several
     components are left. A band belongs to the component of most of its texts;
@@ -474,7 +486,7 @@ def _named_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "text"])
 
     rows = texts_of(docs, id_col, text_col).join(wanted, F.col("doc_id") == F.col("least")).select("node", "text")
-    return durable(rows.mapInArrow(run, "node long, text binary").dropDuplicates(["node"]))
+    return durable(rows.mapInArrow(run, "node long, text binary"), release=True)  # a row that repeats its id and text is there again
 
 
 def similar_texts(docs: DataFrame, own: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -487,12 +499,11 @@ def similar_texts(docs: DataFrame, own: DataFrame, shingle: int = 5, id_col: str
     then, in bands in which several components are left, each with all others.
     So no choice of leaders hides a link."""
     met = _met(own)
-    pairs = durable(_leaders(met).union(_ball_pairs(own)).distinct())
+    pairs = durable(_leaders(met).union(_ball_pairs(own)).distinct(), release=True)
     wanted = met.select("node").union(pairs.select("node")).union(pairs.select("unit")).distinct()
     texts = _named_texts(docs, own.join(wanted, "node", "left_semi").select("node", "least"), id_col, text_col)
-    first = durable(_verified(texts, _with_visits(pairs), shingle))
-    more = _verified(texts, _strays(met, durable(connected_components(first))), shingle)
-    return connected_components(first.union(more))
+    first = durable(_verified(texts, _with_visits(pairs), shingle), release=True)
+    return connected_components(first.union(_verified(texts, _strays(met, _labels(first)), shingle)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
