@@ -116,7 +116,11 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     return ingest.token_bucket_batch(events(spark, d).withColumn("key", F.col("user_id")), rate=1 / 3600, capacity=2)
 
 
-@query(None)
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS starts FROM events WHERE ts IS NOT NULL),
+    s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id, min(ts) AS first_ts, max(ts) + INTERVAL 2 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, k"""
+)
 def session_bursts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.sessions(events(spark, d), "user_id", "2 hours")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import jsonfix as J
 from ..functions import urls as U
-from ..functions.constants import MEDIA_EXTENSIONS, NEGATIVE_SEGMENTS, RICH_EXTENSIONS, TECHNICAL_KEYWORDS
+from ..functions.constants import GENERIC_ANCHORS, MEDIA_EXTENSIONS, NEGATIVE_SEGMENTS, RICH_EXTENSIONS, TECHNICAL_KEYWORDS
 from ..functions.documents import document
 from ..functions.hashing import ring_node, shard_of
 from ..functions.numbers import half_away, half_away_sql
@@ -112,7 +112,14 @@ def title_entropy(spark: SparkSession, d: str) -> DataFrame:
     return total.select("page_id", half_away(share / F.when(most <= 0, 1.0).otherwise(most), 4).alias("entropy"))
 
 
-@query(None)
+@query(
+    rf"""WITH p AS (SELECT page_id, regexp_replace(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '^\s+|\s+$', '', 'g') AS bare FROM pages),
+    c AS (SELECT page_id, bare, list_filter(string_split(regexp_replace(bare, '\s+', '', 'g'), ''), lambda c: c <> '') AS chars, list_transform(regexp_split_to_array(lower(bare), '\s+'), lambda w: trim(w, '.,!?:;"''()[]{{}}<>-')) AS words FROM p),
+    n AS (SELECT page_id, char, count(*) AS n FROM (SELECT page_id, unnest(chars) AS char FROM c) GROUP BY ALL),
+    e AS (SELECT page_id, -sum(n / len(chars) * log2(n / len(chars))) AS entropy, log2(least(count(*), 16)) AS most FROM n JOIN c USING (page_id) GROUP BY page_id),
+    s AS (SELECT page_id, bare, entropy / CASE WHEN most <= 0 THEN 1 ELSE most END * least(1, length(bare) / 6) + CASE WHEN list_has_any(words, [{quoted(TECHNICAL_KEYWORDS)}]) THEN 0.25 ELSE 0 END AS score FROM c LEFT JOIN e USING (page_id))
+    SELECT page_id, CAST(round(CASE WHEN bare = '' OR lower(bare) IN ({quoted(GENERIC_ANCHORS)}) THEN 0.05 ELSE greatest(0.05, least(1, score)) END, 6) AS DOUBLE) AS score FROM s"""
+)
 def anchor_entropy(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", F.round(U.anchor_score(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), 6).alias("score"))
 
@@ -172,7 +179,10 @@ def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
     return G.levels(edges(spark, d), seeds, 3)
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {EDGES}, walk AS (SELECT host AS url, 0 AS depth FROM h WHERE page_id = 1 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < (SELECT count(DISTINCT host) FROM h))
+    SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
+)
 def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     hosts = edges(spark, d)
     every = pages(spark, d).select(U.host(F.col("url")).alias("url")).distinct()
@@ -282,7 +292,7 @@ def document_router(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "x.title", "x.tokens", "x.error")
 
 
-@query(None)
+@query(f"SELECT page_id, url FROM pages WHERE NOT starts_with(coalesce({PATH.format(u='url')}, ''), '/de/')")
 def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
     hosts = pages(spark, d).select(U.host(F.col("url")).alias("domain")).distinct()
     body = "User-agent: *\nDisallow: /en/\nDisallow: /fr/\n\nUser-agent: quarry\nUser-agent: other\nDisallow: /de/\n"
@@ -290,15 +300,19 @@ def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
     return C.robots_allowed(pages(spark, d).select("page_id", "url"), rules, "QuarryBot/1.0")
 
 
-@query(None)
+@query(f"SELECT {HOST.format(u='url')} || '/' || CAST(page_id // 1000 AS VARCHAR) AS source, 'urlset' AS kind, url, CAST(NULL AS VARCHAR) AS error FROM pages WHERE regexp_matches(url, '^https?://[^/?#]')")
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemaps of a host: one for each 1000 page numbers, so that no file grows with the host."""
     entry = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc></url>"))
-    per_host = pages(spark, d).groupBy(U.host(F.col("url")).alias("source")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("x"))
+    name = F.concat_ws("/", U.host(F.col("url")), F.floor(F.col("page_id") / 1000))
+    per_host = pages(spark, d).groupBy(name.alias("source")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("x"))
     files = per_host.select("source", F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).cast("binary").alias("data"))
     return crawl_files.read_sitemaps(files)
 
 
-@query(None)
+@query(
+    """SELECT conv_id, turn AS at, '{"role": "' || role || '", "turn": ' || CAST(turn AS VARCHAR) || '}' AS json, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role IN ('user', 'assistant', 'system') AND turn >= 0"""
+)
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
     """Answers wrapped in fences with a trailing comma, held against a schema."""
     raw = F.concat(F.lit('Here it is:\n```json\n{"role": "'), "role", F.lit('", "turn": '), F.col("turn").cast("string"), F.lit(",}\n```\n"))
@@ -307,7 +321,23 @@ def json_repair(spark: SparkSession, d: str) -> DataFrame:
     return own.select("conv_id", "at", "r.json", "r.error")
 
 
-@query(None)
+#: FNV-1a of the bytes of key, of 64 bits with its bits spread, and of 32 bits.
+RING_SQL = """k AS (SELECT key, hex(encode(key)) AS x FROM keys),
+b AS (SELECT key, list_transform(range(0, length(x) // 2), lambda i: CAST(16 * instr('0123456789ABCDEF', x[2 * i + 1]) + instr('0123456789ABCDEF', x[2 * i + 2]) - 17 AS UHUGEINT)) AS bytes FROM k),
+h0 AS (SELECT key, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), bytes), lambda h, y: (xor(h, y) * CAST(1099511628211 AS UHUGEINT)) % two64) AS h, list_reduce(list_prepend(CAST(2166136261 AS UHUGEINT), bytes), lambda h, y: (xor(h, y) * CAST(16777619 AS UHUGEINT)) % CAST(4294967296 AS UHUGEINT)) AS h32 FROM b),
+h1 AS (SELECT key, h32, (xor(h, h >> 33) * CAST(18397679294719823053 AS UHUGEINT)) % two64 AS h FROM h0),
+h2 AS (SELECT key, h32, (xor(h, h >> 33) * CAST(14181476777654086739 AS UHUGEINT)) % two64 AS h FROM h1),
+hashed AS (SELECT key, h32, xor(h, h >> 33) AS h FROM h2)""".replace("two64", "CAST(18446744073709551616 AS UHUGEINT)")
+
+
+@query(
+    f"""WITH t AS (SELECT node, node || '#' || CAST(i AS VARCHAR) AS key FROM (SELECT unnest(['node-a', 'node-b', 'node-c']) AS node), range(128) r(i)),
+    keys AS (SELECT key FROM t UNION SELECT coalesce(url, '') FROM pages), {RING_SQL},
+    tokens AS (SELECT node, h FROM t JOIN hashed USING (key)), own AS (SELECT page_id, h, CAST(h32 % 64 AS INTEGER) AS shard FROM pages JOIN hashed ON key = coalesce(url, '')),
+    near AS (SELECT page_id, shard, node, min((tokens.h + CAST(18446744073709551616 AS UHUGEINT) - own.h) % CAST(18446744073709551616 AS UHUGEINT)) AS behind FROM own, tokens GROUP BY ALL)
+    SELECT page_id, shard, array_to_string((list(node ORDER BY behind))[1:2], ' ') AS nodes FROM near GROUP BY page_id, shard"""
+)
 def shard_placement(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("url")
-    return pages(spark, d).select("page_id", shard_of(url).alias("shard"), ring_node(url, ["node-a", "node-b", "node-c"], replicas=2).alias("nodes"))
+    nodes = ring_node(url, ["node-a", "node-b", "node-c"], replicas=2)
+    return pages(spark, d).select("page_id", shard_of(url).alias("shard"), F.array_join(nodes, " ").alias("nodes"))
