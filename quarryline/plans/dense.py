@@ -203,7 +203,12 @@ def hybrid_embedded(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d)
 
 
-@query(None)
+@query(
+    f"""WITH {LEX}, {DEN}, {RRF}, h AS (SELECT {RRF_COLUMNS} FROM hits)
+    SELECT query_id, string_agg(CAST(h.rank AS VARCHAR) || '. **' || coalesce(dd.source, 'null') || '** (score ' || CAST(CAST(CAST(rrf_score AS DECIMAL(18, 5)) AS DECIMAL(18, 4)) AS VARCHAR) || ')' || chr(10) || '   ' || coalesce(dd.text, 'null'), chr(10) ORDER BY h.rank) AS answer
+    FROM h JOIN documents dd USING (doc_id) WHERE h.rank <= 3 GROUP BY query_id"""
+)
 def agentic_synthesis(spark: SparkSession, d: str) -> DataFrame:
+    """Answers from the three best hits of the stored index and the stored vectors."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("snippet"))
-    return S.synthesize(_hybrid(spark, d).where("rank <= 3").join(docs, "doc_id"))
+    return S.synthesize(_fused(spark, d).where("rank <= 3").join(docs, "doc_id"))

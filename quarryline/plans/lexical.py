@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import STOPWORDS
+from ..functions.constants import EMBED_TRIM, STOPWORDS
 from ..functions.numbers import half_away, half_away_sql
 from ..operators import index as I
 from ..operators import ranking as R
-from .registry import query, stored_index, table
+from .registry import RING_SQL, query, stored_index, table
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 TRIM = ".,!?:;\"''()[]{}"
@@ -187,7 +187,15 @@ def extract_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.extract_field(F.col("text"), "License").alias("field")).where("field is not null")
 
 
-@query(None)
+@query(
+    f"""WITH w AS (SELECT item_id, trim(unnest({fields_sql("lower(text)")}), '{EMBED_TRIM.replace("'", "''")}') AS word FROM benchmark),
+    f AS (SELECT item_id, unnest(list_concat([word], list_transform(range(1, length(word) - 1), lambda i: word[i:i + 2]), list_transform(range(1, length(word) - 2), lambda i: word[i:i + 3]))) AS key FROM w WHERE word <> '' AND word NOT IN ({STOP})),
+    keys AS (SELECT DISTINCT key FROM f), {RING_SQL},
+    s AS (SELECT item_id, CAST(h % 128 AS INTEGER) AS dim, sum(CASE WHEN h % 2 = 1 THEN -1 ELSE 1 END) AS x FROM f JOIN h0 USING (key) GROUP BY item_id, dim),
+    n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY item_id)
+    SELECT item_id, dim, CAST(round(CAST(x AS DOUBLE) / norm, 6) AS DOUBLE) AS x FROM s JOIN n USING (item_id) WHERE x <> 0"""
+)
 def embed_ngram(spark: SparkSession, d: str) -> DataFrame:
-    v = T.embedding(F.col("text"))
-    return table(spark, d, "benchmark").select("item_id", F.transform(v, lambda x: F.round(x, 6)).alias("v"))
+    """The embeddings of benchmark texts, by dimension; zeros are left out."""
+    own = table(spark, d, "benchmark").select("item_id", F.posexplode(T.embedding(F.col("text"))).alias("dim", "x"))
+    return own.select("item_id", "dim", F.round("x", 6).alias("x")).where("x != 0")

@@ -111,9 +111,16 @@ def store_listing(spark: SparkSession, d: str) -> DataFrame:
     return L.listing(table(spark, d, "orders").select("o_orderkey"), 20, 40, by="o_orderkey")
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    b AS (SELECT user_id, event_id, t, n, CAST(2 AS DOUBLE) AS room FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.t, e.n, least(2, b.room - CASE WHEN b.room >= 1 THEN 1 ELSE 0 END + (e.t - b.t) * (CAST(1 AS DOUBLE) / 3600)) FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id, room >= 1 AS allowed FROM b"""
+)
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.token_bucket_batch(events(spark, d).withColumn("key", F.col("user_id")), rate=1 / 3600, capacity=2)
+    """Two events at once and one more an hour, for each user."""
+    own = events(spark, d).withColumn("key", F.col("user_id"))
+    return ingest.token_bucket_batch(own, rate=1 / 3600, capacity=2).select("key", "event_id", "allowed")
 
 
 @query(

@@ -15,7 +15,7 @@ from ..functions.numbers import half_away, half_away_sql
 from ..operators import crawl as C
 from ..operators import graph as G
 from ..sources import crawl_files
-from .registry import query, table
+from .registry import RING_SQL, query, table
 
 quoted = lambda values: ", ".join(f"'{v}'" for v in values)
 HOST = "lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]*)', 1))"
@@ -321,15 +321,6 @@ def json_repair(spark: SparkSession, d: str) -> DataFrame:
     return own.select("conv_id", "at", "r.json", "r.error")
 
 
-#: FNV-1a of the bytes of key, of 64 bits with its bits spread, and of 32 bits.
-RING_SQL = """k AS (SELECT key, hex(encode(key)) AS x FROM keys),
-b AS (SELECT key, list_transform(range(0, length(x) // 2), lambda i: CAST(16 * instr('0123456789ABCDEF', x[2 * i + 1]) + instr('0123456789ABCDEF', x[2 * i + 2]) - 17 AS UHUGEINT)) AS bytes FROM k),
-h0 AS (SELECT key, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), bytes), lambda h, y: (xor(h, y) * CAST(1099511628211 AS UHUGEINT)) % two64) AS h, list_reduce(list_prepend(CAST(2166136261 AS UHUGEINT), bytes), lambda h, y: (xor(h, y) * CAST(16777619 AS UHUGEINT)) % CAST(4294967296 AS UHUGEINT)) AS h32 FROM b),
-h1 AS (SELECT key, h32, (xor(h, h >> 33) * CAST(18397679294719823053 AS UHUGEINT)) % two64 AS h FROM h0),
-h2 AS (SELECT key, h32, (xor(h, h >> 33) * CAST(14181476777654086739 AS UHUGEINT)) % two64 AS h FROM h1),
-hashed AS (SELECT key, h32, xor(h, h >> 33) AS h FROM h2)""".replace("two64", "CAST(18446744073709551616 AS UHUGEINT)")
-
-
 @query(
     f"""WITH t AS (SELECT node, node || '#' || CAST(i AS VARCHAR) AS key FROM (SELECT unnest(['node-a', 'node-b', 'node-c']) AS node), range(128) r(i)),
     keys AS (SELECT key FROM t UNION SELECT coalesce(url, '') FROM pages), {RING_SQL},
