@@ -40,7 +40,8 @@ class Template:
     base: bool = False
 
 
-#: The base phrases, then notices and opening sentences of well-known licenses.
+#: The base phrases, then notices, opening sentences and operative texts of well-known licenses
+#: (whole ones under their SPDX names; of BSD-3-Clause what stands before the holder's name).
 TEMPLATES = (
     Template("mit", "mit license", base=True),
     Template("apache", "apache license", base=True),
@@ -72,6 +73,141 @@ TEMPLATES = (
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",), 0.8),
     Template("cc-by", "creative commons attribution", ("creative commons attribution",), 1.0),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",), 0.8),
+    Template(
+        "MIT",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the
+        software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and
+        to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not
+        limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for
+        any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other
+        dealings in the software""",
+        ("permission is hereby granted free of charge", "shall be included in all copies or substantial portions of the software"),
+        0.8,
+    ),
+    Template(
+        "MIT-0",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the
+        software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and
+        to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind express or implied including but not
+        limited to the warranties of merchantability fitness for a particular purpose and noninfringement""",
+        ("to permit persons to whom the software is furnished to do so the software is provided as is",),
+        0.8,
+    ),
+    Template(
+        "ISC",
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and
+        this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied
+        warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever
+        resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software""",
+        ("provided that the above copyright notice and this permission notice appear in all copies",),
+        0.8,
+    ),
+    Template(
+        "0BSD",
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author
+        disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any
+        special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or
+        other tortious action arising out of or in connection with the use or performance of this software""",
+        ("with or without fee is hereby granted the software is provided as is",),
+        0.8,
+    ),
+    Template(
+        "BSD-2-Clause",
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of
+        source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above
+        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is
+        provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability
+        and fitness for a particular purpose are disclaimed""",
+        ("provided with the distribution this software is provided by",),
+        0.8,
+    ),
+    Template(
+        "BSD-3-Clause",
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of
+        source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above
+        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name
+        of""",
+        ("provided with the distribution 3 neither the name of",),
+        0.8,
+    ),
+    Template(
+        "Zlib",
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this
+        software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+        the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software
+        in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and
+        must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution""",
+        ("altered source versions must be plainly marked as such",),
+        0.8,
+    ),
+    Template(
+        "Unlicense",
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in
+        source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large
+        and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law""",
+        ("dedicate any and all copyright interest in the software to the public domain",),
+        0.8,
+    ),
+    Template(
+        "BSL-1.0",
+        """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+        the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to
+        whom the software is furnished to do so all subject to the following""",
+        ("any person or organization obtaining a copy of the software and accompanying documentation",),
+        0.8,
+    ),
+    Template("WTFPL", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("as long as the name is changed",), 0.8),
+    Template(
+        "Apache-2.0",
+        """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at
+        http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is
+        basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under
+        the license""",
+        ("under the apache license version 2 0", "unless required by applicable law or agreed to in writing"),
+        0.8,
+    ),
+    Template(
+        "GPL-2.0-or-later",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+        either version 2 of the license or at your option any later version""",
+        ("the gnu general public license as published by", "either version 2 of the license"),
+        0.8,
+    ),
+    Template(
+        "GPL-3.0-or-later",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+        either version 3 of the license or at your option any later version""",
+        ("the gnu general public license as published by", "either version 3 of the license"),
+        0.8,
+    ),
+    Template(
+        "LGPL-2.1-or-later",
+        """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software
+        foundation either version 2 1 of the license or at your option any later version""",
+        ("the gnu lesser general public license as published by", "either version 2 1 of the license"),
+        0.8,
+    ),
+    Template(
+        "AGPL-3.0-or-later",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software
+        foundation either version 3 of the license or at your option any later version""",
+        ("the gnu affero general public license as published by", "either version 3 of the license"),
+        0.8,
+    ),
+    Template(
+        "MPL-2.0",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at""",
+        ("the mozilla public license v 2 0",),
+        0.8,
+    ),
+    Template("EPL-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("the eclipse public license 2 0",), 0.8),
+    Template("CC0-1.0", "waived all copyright and related or neighboring rights", ("related or neighboring rights",), 0.8),
+    Template("CC-BY-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",), 0.8),
+    Template("CC-BY-SA-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",), 0.8),
     Template("spdx-mit", "spdx license identifier mit"),
     Template("spdx-apache", "spdx license identifier apache 2 0"),
     Template("spdx-gpl", "spdx license identifier gpl"),

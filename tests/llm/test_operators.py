@@ -262,6 +262,43 @@ def test_license_texts_and_near_texts():
     assert {"gpl", "gpl-3.0"} <= labels("GNU General Public License, version 3.")
 
 
+def brute_labels(index, text):
+    """All templates at all places: (template, first word, share in place)."""
+    words = text.encode().translate(index.table).split()
+    found = []
+    for t, own in enumerate(index.words):
+        anchors = [(w, i) for w, places in index.postings.items() for x, i in places if x == t]
+        for start in range(len(words)):
+            at = words[start : start + len(own)]
+            if sum(at[i : i + 1] == [w] for w, i in anchors) < index.needed[t]:
+                continue
+            share = sum(a == b for a, b in zip(own, at, strict=False)) / len(own)
+            if share >= index.templates[t].least and all(at[i : i + len(k)] == k for i, k in index.keys[t]):
+                found.append((t, start, share))
+    return len(words), found
+
+
+def test_license_labels_and_scores_by_brute_force(spark):
+    """Each template as it is, in the midst of words, edited, twice, cut, and with ties between templates."""
+    index, rng = license_scan.Index(license_scan.TEMPLATES), random.Random(7)
+    texts = ["", "license " * 40]
+    for t in license_scan.TEMPLATES:
+        words = t.text.split()
+        edited = [rng.choice(["word", "license"]) if rng.random() < 0.1 else w for w in words]
+        texts += [t.text, " ".join(["x"] * 9 + words + ["license"] + edited), " ".join(words[: len(words) * 9 // 10]), " ".join(words + words)]
+    for text in texts:
+        assert index.scan(text) == brute_labels(index, text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        _, found = brute_labels(index, text)
+        named = {index.templates[t].label for t, *_ in found}
+        assert rows[i].labels == ",".join(sorted(named))
+        assert rows[i].score == max([0.0, *(share * (0.5 if index.templates[t].base else 1.0) for t, _, share in found)])
+    for k, t in enumerate(license_scan.TEMPLATES):  # each whole text is found
+        assert t.label in rows[2 + 4 * k].labels.split(",")
+
+
 # --- warc -------------------------------------------------------------------------------
 
 
