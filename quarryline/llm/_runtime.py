@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where lineage is cut if the cluster names no shared folder (local tests).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Rows that a file of :func:`durable` has at least, where their number is known.
+ROWS_A_FILE = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,20 +27,48 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or LOCAL_CHECKPOINTS
 
 
-def durable(df: DataFrame, release: bool = False) -> DataFrame:
+def durable(df: DataFrame, release: bool = False, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; a lost executor
     costs no recomputation. With ``release`` the driver collects its garbage
     then: executors keep shuffle files until the driver finds that nothing
-    refers to them, which in a job of many rounds it may do too late."""
-    sc = df.sparkSession.sparkContext
+    refers to them, which in a job of many rounds it may do too late.
+
+    ``rows`` is about how many there are at most. If the shuffle's partitions
+    would make smaller files of them than ROWS_A_FILE, there are fewer files,
+    one for each core at least: for each file an executor may start a process
+    that sets its mode, and small files by the thousand cost more than their rows."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+        sc.setCheckpointDir(shared_dir(spark))
+    if rows is not None:
+        files = max(sc.defaultParallelism, math.ceil(rows / ROWS_A_FILE))
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
     out = df.checkpoint(eager=True)
     if release:
         sc._jvm.System.gc()
     return out
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system: both allocators keep it
+    otherwise, and a worker that waits for its next task holds as much as its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function of mapInArrow, that gives memory back at the end of its task."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return told
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

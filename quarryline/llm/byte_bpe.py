@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._runtime import texts_of
+from ._runtime import lean, texts_of
 from .pretokens import split
 
 #: Ids are below 2**SHIFT - 2; the last two mark walls between words and merged places.
@@ -275,7 +275,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
             columns = [*batch.columns, lists, pa.array(np.array(sizes[1:], np.int64)), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode_ids(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

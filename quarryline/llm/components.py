@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from ._runtime import durable
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, rows: int) -> DataFrame:
     """(u, v) joined with m, the smallest v of u. The minima are written first:
     both sides of the join are then dealt by u for it alone, and adaptive
     execution may split the edges of a hub."""
-    return edges.join(durable(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
+    return edges.join(durable(edges.groupBy("u").agg(F.min("v").alias("m")), rows=rows), "u")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,18 +27,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, component): each node of an edge between two different nodes,
-    and the smallest node that it reaches. Nulls and loops are ignored."""
+    and the smallest node that it reaches. Nulls and loops are ignored.
+    ``rows`` is about how many edges there are at most, if known."""
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v")))
-    stars = durable(pairs.distinct())
+    stars = durable(pairs.distinct(), rows=rows)
     before = _mark(stars)
     while before[0]:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        joined = _smallest(large)
+        n = 2 * before[0]
+        large = _smallest(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        joined = _smallest(large, n)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(joined.select("u", F.col("m").alias("v"))).distinct()
-        stars = durable(small, release=True)
+        stars = durable(small, release=True, rows=n)
         after = _mark(stars)
         if after == before:
             break

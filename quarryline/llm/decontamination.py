@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ._runtime import texts_of
+from ._runtime import lean, texts_of
 
 #: Least share of an item's words that stand unedited: edits <= (1 - SIMILARITY) * words.
 SIMILARITY = 0.8
@@ -319,6 +319,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
                 mask[[x[0] for x in _of(block).leaks(batch.column(text_col))]] = False
                 yield batch.filter(pa.array(mask))
 
-        return kept.mapInArrow(run, kept.schema)
+        return kept.mapInArrow(lean(run), kept.schema)
 
     return reduce(clean, _blocks(benchmark, similarity, item_col, item_text), docs)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
-from ._runtime import texts_of
+from ._runtime import lean, texts_of
 
 #: n-gram length -> the largest share of characters inside duplicated n-grams.
 MAX_COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -29,8 +29,8 @@ MAX_SYMBOLS_PER_WORD = 0.1
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
-#: Bytes of text that are measured together.
-AT_ONCE = 4 << 20
+#: Bytes of text that are measured together; their arrays take some 20 times as much.
+AT_ONCE = 1 << 20
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -112,4 +112,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(measure(batch.column(text_col))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

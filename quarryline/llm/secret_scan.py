@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._runtime import texts_of
+from ._runtime import lean, texts_of
 from .automaton import Dfa, parse, reverse
 
 VALUE = "[A-Za-z0-9+/_.=-]"
@@ -161,4 +161,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
             texts = pa.array([clean(scanner, t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], texts, *batch.columns[k + 1 :]], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._runtime import durable, texts_of
+from ._runtime import durable, lean, texts_of
 from .components import connected_components
 from .words import U64, buffer_of, mix, slices
 
@@ -335,7 +335,7 @@ def with_bands(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([_digest(t) for t in texts], pa.int64()), pa.array(fp.view(np.int64)), lists], names=["doc_id", "node", "fp", "bands"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
+    return texts_of(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, node long, fp long, bands array<long>")
 
 
 def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,29 +345,29 @@ def distinct_texts(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     return durable(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), release=True)
 
 
-def _met(own: DataFrame) -> DataFrame:
-    """(band, node) of the bands that two texts or more share."""
+def _met(own: DataFrame, n: int) -> DataFrame:
+    """(band, node) of the bands that two texts or more share, of n texts."""
     rows = own.select("node", F.explode("bands").alias("band"))
-    shared = durable(rows.groupBy("band").count().where(F.col("count") > 1))
-    return durable(rows.join(shared, "band"))
+    shared = durable(rows.groupBy("band").count().where(F.col("count") > 1), rows=n * BANDS // 2)
+    return durable(rows.join(shared, "band"), rows=n * BANDS)
 
 
-def _leaders(met: DataFrame) -> DataFrame:
+def _leaders(met: DataFrame, n: int) -> DataFrame:
     """(node, unit): each text that shares a band, and the leader that it is to be compared
     with. A band's leader is the text whose bands hold the most texts, so
     the one in the midst of a crowd; a text's is the leader of most of its bands."""
     weight = met.groupBy("node").agg(F.sum("count").alias("weight"))
     ranked = met.join(weight, "node").select("band", F.struct("weight", "node").alias("rank"))
-    best = durable(ranked.groupBy("band").agg(F.max("rank").alias("best")))
+    best = durable(ranked.groupBy("band").agg(F.max("rank").alias("best")), rows=n * BANDS // 2)
     pairs = ranked.join(best, "band").where("rank < best").groupBy(F.col("rank.node").alias("node"), "best").count()
     chosen = pairs.groupBy("node").agg(F.max(F.struct("count", "best")).alias("m")).select("node", F.col("m.best.node").alias("unit"))
     return chosen
 
 
-def _ball_pairs(own: DataFrame, radius: int = 4) -> DataFrame:
+def _ball_pairs(own: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """(node, unit) of texts whose fingerprints are at most ``radius`` bits apart: by meet-in-the-middle balls as in
     :func:`links`; of texts of one fingerprint each with the first."""
-    first = durable(own.groupBy("fp").agg(F.min("node").alias("unit"), F.count("*").alias("n")))
+    first = durable(own.groupBy("fp").agg(F.min("node").alias("unit"), F.count("*").alias("n")), rows=n)
     same = own.select("fp", "node").join(first.where("n > 1"), "fp").where("node != unit").select("node", "unit")
     return same.union(links(first, radius, node="unit").select("src", "dst"))
 
@@ -379,15 +379,15 @@ def _with_visits(pairs: DataFrame) -> DataFrame:
     return sits.union(visits).withColumn("component", F.col("node"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
+def _labels(links: DataFrame, n: int) -> DataFrame:
     """(node, component) of the linked texts: the leader's leader, or the leader. Texts of one label are connected;
     connected ones may have different labels, then some of them are compared once more."""
-    leader = durable(links.groupBy("dst").agg(F.min("src").alias("unit")))
+    leader = durable(links.groupBy("dst").agg(F.min("src").alias("unit")), rows=n)
     above = leader.select(F.col("dst").alias("unit"), F.col("unit").alias("above"))
-    return durable(leader.join(above, "unit", "left").select(F.col("dst").alias("node"), F.coalesce("above", "unit").alias("component")))
+    return durable(leader.join(above, "unit", "left").select(F.col("dst").alias("node"), F.coalesce("above", "unit").alias("component")), rows=n)
 
 
-def _strays(met: DataFrame, found: DataFrame) -> DataFrame:
+def _strays(met: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """(unit, node, component, visits) of the bands in which texts of several
     components are left. A band belongs to the component of most of its texts;
     its other texts are strays and visit all texts that share a band of that
@@ -395,7 +395,8 @@ def _strays(met: DataFrame, found: DataFrame) -> DataFrame:
     named = met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     parts = named.groupBy("band", "component").count()
     mixed = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "component")).component.alias("unit")).where("kinds > 1")
-    inside = durable(named.join(durable(mixed.select("band", "unit")), "band").select("unit", "node", "component").distinct())
+    units = durable(mixed.select("band", "unit"), rows=n * BANDS // 2)
+    inside = durable(named.join(units, "band").select("unit", "node", "component").distinct(), rows=n * BANDS)
     return inside.withColumn("visits", F.lit(False)).unionByName(inside.where("component != unit").withColumn("visits", F.lit(True)))
 
 
@@ -443,13 +444,13 @@ def _compared(sits: list[tuple[int, int, np.ndarray]], visits: list[tuple[int, i
                     yield p[i][0], q[j][0]
 
 
-def _verified(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+def _verified(texts: DataFrame, members: DataFrame, shingle: int, n: int) -> DataFrame:
     """(src, dst): of each unit of ``members`` the pairs of a visiting and a
     sitting text that are alike by all their shingles, as many as connect them.
 
     Both sides of a unit are cut into blocks by their nodes, and each two blocks
     meet in a task of their own; so memory does not grow with a unit."""
-    sizes = durable(members.groupBy("unit").agg(F.count_if("visits").alias("v"), F.count_if(~F.col("visits")).alias("s")))
+    sizes = durable(members.groupBy("unit").agg(F.count_if("visits").alias("v"), F.count_if(~F.col("visits")).alias("s")), rows=n)
     cut = lambda n: F.ceil(F.col(n) / UNIT).cast("int")
     dealt = members.join(sizes, "unit").where("v > 0 and s > 0").withColumns({"v": cut("v"), "s": cut("s")})
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -473,7 +474,7 @@ def _verified(texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
         found += told(*held)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-    return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(run, "src long, dst long")
+    return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(lean(run), "src long, dst long")
 
 
 def _named_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -486,24 +487,26 @@ def _named_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "text"])
 
     rows = texts_of(docs, id_col, text_col).join(wanted, F.col("doc_id") == F.col("least")).select("node", "text")
-    return durable(rows.mapInArrow(run, "node long, text binary"), release=True)  # a row that repeats its id and text is there again
+    return durable(rows.mapInArrow(lean(run), "node long, text binary"), release=True)  # a row that repeats its id and text is there again
 
 
-def similar_texts(docs: DataFrame, own: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, own: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
     """(node, component) of those of :func:`distinct_texts` that have a
-    near-duplicate; a component is named by one of its nodes.
+    near-duplicate; a component is named by one of its nodes. n is how many
+    :func:`distinct_texts` there are, if that is known.
 
     Candidates are texts whose fingerprints share a ball, and texts that share a
     band. They are compared by all of their shingles unless they are connected
     already: first those of a ball, and each text with one leader of its bands;
     then, in bands in which several components are left, each with all others.
     So no choice of leaders hides a link."""
-    met = _met(own)
-    pairs = durable(_leaders(met).union(_ball_pairs(own)).distinct(), release=True)
+    n = own.count() if n is None else n
+    met = _met(own, n)
+    pairs = durable(_leaders(met, n).union(_ball_pairs(own, n)).distinct(), release=True, rows=4 * n)
     wanted = met.select("node").union(pairs.select("node")).union(pairs.select("unit")).distinct()
     texts = _named_texts(docs, own.join(wanted, "node", "left_semi").select("node", "least"), id_col, text_col)
-    first = durable(_verified(texts, _with_visits(pairs), shingle), release=True)
-    return connected_components(first.union(_verified(texts, _strays(met, _labels(first)), shingle)))
+    first = durable(_verified(texts, _with_visits(pairs), shingle, n), release=True)
+    return connected_components(first.union(_verified(texts, _strays(met, _labels(first, n), n), shingle, n)), rows=4 * n)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -511,7 +514,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_i
     the text with the smallest id. Rows that repeat its id and words are repeats
     and go too; rows without an id stay, for nothing names them."""
     own = distinct_texts(docs, shingle, id_col, text_col)
-    found = durable(similar_texts(docs, own, shingle, id_col, text_col).join(own.select("node", "least"), "node"))
+    n = own.count()
+    found = durable(similar_texts(docs, own, shingle, id_col, text_col, n).join(own.select("node", "least"), "node"), rows=n)
     first = found.groupBy("component").agg(F.min(F.struct("least", "node")).node.alias("node"))
     gone = found.join(first, "node", "left_anti").select("node")
     best = own.select("node", "least").join(gone, "node", "left_anti")
@@ -522,6 +526,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_i
             nodes = [_digest(_joined(buf[offsets[i] : offsets[i + 1]].tobytes())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
 
-    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    named = docs.mapInArrow(lean(name), StructType([*docs.schema.fields, StructField("_node", LongType())]))
     kept = named.join(best, (named[id_col] == best.least) & (named._node == best.node), "left_semi")
     return kept.dropDuplicates([id_col, "_node"]).drop("_node").unionByName(docs.where(F.col(id_col).isNull()))
