@@ -18,14 +18,19 @@ from .constants import EMBED_TRIM, STOPWORDS, TOKEN_TRIM
 SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
+def blanks(text: Column) -> Column:
+    """A text with a blank for each white space (Unicode's); null: empty."""
+    bare = F.coalesce(text, F.lit(""))
+    for c in SPACES:
+        bare = F.replace(bare, F.lit(c), F.lit(" "))
+    return bare
+
+
 def fields(text: Column) -> Column:
     """The runs between white space (Unicode's), as an array; none for null or blank texts.
 
     Searches for single characters and a split at blanks need no regular expression, which would test each character."""
-    bare = F.coalesce(text, F.lit(""))
-    for c in SPACES:
-        bare = F.replace(bare, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(bare, " "), "")
+    return F.array_remove(F.split(blanks(text), " "), "")
 
 
 def trimmed(token: Column, chars: str = TOKEN_TRIM) -> Column:

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fields, stemmed, tokens
+from ..functions.constants import STOPWORDS, TOKEN_TRIM
+from ..functions.text import blanks, fields, stem
 
 
 #: Documents whose ids share a block's number share its bounds.
 BLOCK = 64
+#: Bytes of text that are taken apart at once.
+CHUNK = 4 << 20
+#: Scanned bytes of documents that a task gets.
+TASK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (bucket, term, doc_id, tf, dl, positions), doc_len (doc_id, dl), terms (term, df, cf), stats (one
-    row), bounds (bucket, term, block, n, max_tf, min_len, max_id). A term's bucket is ``bucket_of`` of ``buckets``."""
+    """postings (bucket, term, doc_id, tf, dl, positions), doc_len (doc_id, dl), terms (bucket, term, df, cf), stats (one
+    row), bounds (bucket, term, block, n, max_tf, min_len, max_id). A term's bucket is ``bucket_of`` of ``buckets``.
+    segments has postings and bounds as they lie: see :func:`_segments`."""
 
     postings: DataFrame
     doc_len: DataFrame
@@ -25,6 +36,7 @@ class Index:
     stats: DataFrame
     bounds: DataFrame
     buckets: int
+    segments: DataFrame
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -36,16 +48,139 @@ def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.size(fields(F.col(text_col))).cast("long").alias("dl"))
 
 
-def postings(terms: DataFrame) -> DataFrame:
-    """One row per term and document of a token table."""
-    grouped = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "doc_id", "tf", "positions")
-
-
-def term_stats(terms: DataFrame) -> DataFrame:
-    """(term, df, cf): documents and occurrences. Counts per document come first, so a frequent term is small before its exchange."""
-    per_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+# --- documents taken apart where they lie ---------------------------------------------
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.Table]:
+    """Rows of about CHUNK bytes of text; with ``whole``, neighbours of one block stay together."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        start = 0
+        lengths = pc.binary_length(batch.column("text")).to_pylist()
+        blocks = batch.column("block").to_pylist() if whole else range(len(lengths))
+        for i, (n, block) in enumerate(zip(lengths, blocks, strict=True)):
+            if size >= CHUNK and (block != last or not whole):
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
+                held, size, start = [], 0, i
+            size, last = size + n + 64, block
+        held.append(batch.slice(start))
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _encoded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each value among the distinct ones (null is one of them), and those."""
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(own, pa.ChunkedArray):  # no chunk, or too large for one
+        own = pa.concat_arrays(own.chunks) if own.num_chunks else pa.array([], own.type)
+    coded = own.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def _taken_apart(chunk: pa.Table, stems: bool) -> dict[str, pa.Array | np.ndarray]:
+    """Postings of the texts of ``chunk`` (doc_id, text), by term and then by document in the order of the rows.
+    Texts with one id are one document."""
+    words = pc.split_pattern(chunk["text"].combine_chunks(), " ")
+    rows = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+    code, raw = _encoded(words.flatten())
+    there = ~np.asarray(pc.equal(raw, ""), bool)[code]
+    code, rows = code[there], rows[there]
+    lengths = np.bincount(rows, minlength=len(words))
+    pos = np.arange(len(rows)) - (np.cumsum(lengths) - lengths)[rows]
+
+    terms = pc.utf8_trim(raw, characters=TOKEN_TRIM)
+    kept = ~np.asarray(pc.is_in(terms, value_set=pa.array(["", *STOPWORDS])), bool)
+    if stems:
+        terms = pa.array([stem(t) if k else "" for t, k in zip(terms.to_pylist(), kept, strict=True)], pa.string())
+    own, terms = _encoded(terms)
+    order = np.asarray(pc.sort_indices(terms))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keep = kept[code]
+    term, rows, pos = rank[own[code[keep]]], rows[keep], pos[keep]
+
+    doc, ids = _encoded(chunk["doc_id"])
+    first = np.full(len(ids), len(doc))
+    np.minimum.at(first, doc, np.arange(len(doc)))
+    key = term * len(ids) + doc[rows]
+    at = np.argsort(key, kind="stable") if len(ids) == len(doc) else np.lexsort((pos, key))
+    key = key[at]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(start, len(key))
+    term, doc = np.divmod(key[start], len(ids))
+    return {
+        "term": terms.take(pa.array(order[term])), "doc_id": ids.take(pa.array(doc)), "tf": np.diff(ends), "dl": lengths[first[doc]],
+        "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[at], pa.int32())), "number": term, "row": first[doc],
+    }
+
+
+def _fields(docs: DataFrame, id_col: str, *more: str) -> str:
+    return ", ".join(["term string", f"doc_id {docs.schema[id_col].dataType.simpleString()}", "tf bigint", "dl bigint", "positions array<int>", *more])
+
+
+def _told(table: dict) -> pa.RecordBatch:
+    arrays = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in table.items()}
+    return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+
+
+def postings(docs: DataFrame, stem: bool = False, id_col: str = "doc_id", text_col: str = "text", unique: bool | None = None) -> DataFrame:
+    """(term, doc_id, tf, dl, positions), one row per term and document.
+
+    A text is counted where it lies and nothing is exchanged, unless ids repeat (``unique`` says so where it is
+    known, else they are counted): then what the texts of one id have is added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, False):
+            own = _taken_apart(chunk, stem)
+            yield _told({k: own[k] for k in ("term", "doc_id", "tf", "dl", "positions")})
+
+    own = docs.select(F.col(id_col).alias("doc_id"), blanks(F.lower(F.col(text_col))).alias("text")).mapInArrow(run, _fields(docs, id_col))
+    if unique is None:
+        unique = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if unique:
+        return own
+    added = own.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return added.select("term", "doc_id", "tf", "dl", "positions")
+
+
+def _parts(docs: DataFrame, least: int) -> int:
+    """Tasks for the documents: as many as there are cores, and so many that one gets TASK_BYTES as scanned."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 50
+    return max(least, spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _segments(docs: DataFrame, stem: bool, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """(term, doc_id, tf, dl, positions, block, n, max_tf, min_len): postings in runs of whole blocks, by term and then
+    by document. The last posting that a term has in a block carries the block's bounds, other rows have none there.
+
+    Texts are exchanged once, by block; a token never is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, True):
+            own = _taken_apart(chunk, stem)
+            tf, row, number = own["tf"], own.pop("row"), own.pop("number")
+            if not len(tf):
+                continue
+            block, blocks = _encoded(chunk["block"])
+            block = block[row]
+            start = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            ends = np.append(start[1:], len(tf))
+            last = np.full(len(tf), -1)
+            last[ends - 1] = np.arange(len(start))
+            at = pa.array(last, mask=last < 0)
+            bounds = {"n": ends - start, "max_tf": np.maximum.reduceat(tf, start), "min_len": np.minimum.reduceat(own["dl"], start)}
+            yield _told(own | {"block": blocks.take(pa.array(block[start])).take(at)} | {k: pa.array(v).take(at) for k, v in bounds.items()})
+
+    own = docs.select(F.floor(F.col(id_col) / BLOCK).alias("block"), F.col(id_col).alias("doc_id"), blanks(F.lower(F.col(text_col))).alias("text"))
+    dealt = own.repartition(_parts(docs, least), "block").sortWithinPartitions("block", "doc_id")
+    return dealt.mapInArrow(run, _fields(docs, id_col, "block bigint", "n bigint", "max_tf bigint", "min_len bigint"))
+
+
+def term_stats(post: DataFrame) -> DataFrame:
+    """(term, df, cf) of postings: documents and occurrences."""
+    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -55,51 +190,40 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def _bounds(post: DataFrame, block: int = BLOCK) -> DataFrame:
-    own = post.withColumn("block", F.floor(F.col("doc_id") / block))
-    return own.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_len"), F.max("doc_id").alias("max_id"))
+def block_stats(docs: DataFrame, stem: bool = False) -> DataFrame:
+    """By term and block of BLOCK documents: largest tf, least length, last document; the bounds that pruning needs."""
+    return _bounds(_segments(docs, stem)).select("term", "block", "n", "max_tf", "min_len", "max_id")
 
 
-def _terms(post: DataFrame) -> DataFrame:
-    return post.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def _bounds(segments: DataFrame) -> DataFrame:
+    return segments.where("n is not null").withColumnRenamed("doc_id", "max_id")
 
 
-def _postings(docs: DataFrame, stem: bool, id_col: str, text_col: str, buckets: int, slices: int) -> DataFrame:
-    """Postings dealt by bucket of their term and slice of their document, by one exchange: a frequent term is in
-    as many tasks as there are slices."""
-    terms = tokens(docs, id_col, text_col)
-    terms = (stemmed(terms) if stem else terms).withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
-    dealt = terms.repartition(buckets * slices, "bucket", "slice")
-    grouped = dealt.groupBy("bucket", "slice", "term", "doc_id")
-    return grouped.agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions")).drop("slice")
+def _index(segments: DataFrame, lengths: DataFrame, terms: DataFrame, stats: DataFrame, buckets: int) -> Index:
+    bucket = bucket_of(F.col("term"), buckets).alias("bucket")
+    post = segments.select(bucket, "term", "doc_id", "tf", "dl", "positions")
+    bounds = _bounds(segments).select(bucket, "term", "block", "n", "max_tf", "min_len", "max_id")
+    return Index(post, lengths, terms.select(bucket, "term", "df", "cf"), stats, bounds, buckets, segments)
 
 
 def build(docs: DataFrame, stem: bool = True, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, slices: int = 1) -> Index:
-    """The index of ``docs``, as plans."""
-    lengths = doc_lengths(docs, id_col, text_col)
-    post = _postings(docs, stem, id_col, text_col, buckets, slices)
-    return Index(post, lengths, _terms(post), corpus_stats(lengths), _bounds(post), buckets)
+    """The index of ``docs``, as plans; at least ``slices`` tasks make it."""
+    lengths, own = doc_lengths(docs, id_col, text_col), _segments(docs, stem, id_col, text_col, slices)
+    return _index(own, lengths, term_stats(own), corpus_stats(lengths), buckets)
 
 
 def save(index: Index, path: str) -> None:
-    """A snapshot. Postings lie in a folder for each bucket, sorted by term, so a query reads few row groups of few
-    folders; what follows from postings is computed from those written."""
+    """A snapshot. Postings lie in runs sorted by term, so a query of few terms reads few pages of each file; what
+    follows from postings is computed from those written."""
     spark = index.postings.sparkSession
-    index.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.segments.write.mode("overwrite").parquet(f"{path}/postings")
     index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
-    post, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_len")
-    _terms(post).write.mode("overwrite").parquet(f"{path}/terms")
-    _bounds(post).repartition("bucket").sortWithinPartitions("term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds")
+    own, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_len")
+    term_stats(own).write.mode("overwrite").parquet(f"{path}/terms")
     corpus_stats(lengths).withColumn("buckets", F.lit(index.buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     stats = read("stats")
-    return Index(read("postings"), read("doc_len"), read("terms"), stats, read("bounds"), stats.first()["buckets"])
-
-
-def block_stats(post: DataFrame, lengths: DataFrame, block: int = 64) -> DataFrame:
-    """By term and block of ``block`` documents: largest tf, least length, last document; the bounds that pruning needs."""
-    own = post.join(lengths, "doc_id").withColumn("block", F.floor(F.col("doc_id") / block))
-    return own.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_len"), F.max("doc_id").alias("max_id"))
+    return _index(read("postings"), read("doc_len"), read("terms"), stats, stats.first()["buckets"])

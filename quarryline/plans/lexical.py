@@ -56,7 +56,7 @@ HITS = ("query_id", "doc_id", "score", "match_count", "rank")
 
 @query(f"WITH {TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return I.term_stats(T.tokens(table(spark, d, "documents")))
+    return I.term_stats(I.postings(table(spark, d, "documents")))
 
 
 @query(f"SELECT doc_id, CAST(len({fields_sql('text')}) AS BIGINT) AS dl FROM documents")
@@ -66,7 +66,8 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id")
 def postings_positions(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(T.tokens(table(spark, d, "documents"))).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+    own = I.postings(table(spark, d, "documents"))
+    return own.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 @query(
@@ -118,8 +119,7 @@ def block_upper_bounds(spark: SparkSession, d: str) -> DataFrame:
     FROM post GROUP BY term, block"""
 )
 def block_max_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return I.block_stats(I.postings(T.tokens(docs)), I.doc_lengths(docs))
+    return I.block_stats(table(spark, d, "documents"))
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import tokens
 from ..operators.index import doc_lengths, postings
 
 MESSAGE = "doc_id long, text string, version long"
@@ -56,7 +55,7 @@ def upsert_index(path: str) -> Callable[[DataFrame, int], None]:
         latest = batch.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("version", F.lit(0)).alias("version"), "text")).alias("m"))
         own = latest.select("doc_id", "m.text", "m.version")
         lengths = doc_lengths(own).join(own.select("doc_id", "version"), "doc_id")
-        _write(f"{path}/v={number}", postings(tokens(own)), lengths)
+        _write(f"{path}/v={number}", postings(own, unique=True).drop("dl"), lengths)
 
     return run
 
