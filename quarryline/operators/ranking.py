@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +17,7 @@ from ..functions.constants import RRF_K, STOPWORDS, TOKEN_TRIM, B, K1  # noqa: F
 from ..functions.numbers import half_away
 from ..functions.text import fields, is_stopword, stem, stemmed, tokens, trimmed
 from .graph import cut
-from .index import BLOCK, Index, bucket_of
+from .index import BLOCK, Index
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -73,25 +79,29 @@ LISTED = 256
 HELD = 200_000
 
 
-def _wanted(index: Index, queries: DataFrame, stem: bool) -> tuple[DataFrame, Column, float]:
-    """(query_id, term, times, weight) of the terms that the index has, a filter for scans, and the mean length.
+def held(df: DataFrame) -> DataFrame:
+    """``df`` as a local table that joins broadcast, if it has HELD rows at most; else as it is."""
+    rows = df.limit(HELD + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows)) if rows.num_rows <= HELD else df
 
-    The filter is made of the terms' buckets, as many as the index has at most, and of the terms if they are few."""
-    stats, wanted = index.stats.first(), query_terms(queries, stem).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    held = wanted.limit(HELD + 1).toArrow()
-    if held.num_rows <= HELD:
-        wanted = wanted.sparkSession.createDataFrame(held)
-        buckets, terms = (held.column(c).unique().to_pylist() for c in ("bucket", "term"))
-    else:
-        buckets, terms = list(range(index.buckets)), []
-    here = F.col("bucket").isin(buckets) if len(buckets) < index.buckets else F.lit(True)
-    if held.num_rows <= HELD and len(terms) <= LISTED:
-        here = here & F.col("term").isin(terms)
+
+def _wanted(index: Index, queries: DataFrame, stem: bool) -> tuple[DataFrame, Column, float, pa.Table | None]:
+    """(query_id, term, times, df, weight) of the terms that the index has, a filter for scans if they are few, the
+    mean length, and the rows if they are held."""
+    stats, wanted = index.stats.first(), query_terms(queries, stem)
+    rows = wanted.limit(HELD + 1).toArrow()
+    few = rows.num_rows <= HELD
+    terms = rows.column("term").unique().to_pylist() if few else []
+    here = F.col("term").isin(terms) if few and len(terms) <= LISTED else F.lit(True)
+    if few:
+        wanted = F.broadcast(wanted.sparkSession.createDataFrame(rows))
     weight = idf(F.lit(stats["n_docs"]), F.col("df")).alias("weight")
-    weighed = index.terms.where(here).select("term", "df").join(wanted, "term").select("query_id", "term", "times", weight)
-    if held.num_rows <= HELD:
-        weighed = weighed.sparkSession.createDataFrame(weighed.toArrow())
-    return weighed, here, float(stats["avgdl"])
+    weighed = index.terms.where(here).select("term", "df").join(wanted, "term").select("query_id", "term", "times", "df", weight)
+    own = None
+    if few:
+        own = weighed.toArrow()
+        weighed = F.broadcast(weighed.sparkSession.createDataFrame(own))
+    return weighed, here, float(stats["avgdl"]), own
 
 
 def _scored(post: DataFrame, wanted: DataFrame, avgdl: float) -> DataFrame:
@@ -102,16 +112,113 @@ def _scored(post: DataFrame, wanted: DataFrame, avgdl: float) -> DataFrame:
     return own.withColumn("score", half_away(F.col("score"), 3))
 
 
+#: Postings that a task ranks, and pairs of a posting and a query that it adds up at once.
+TASK_POSTINGS, PAIRS = 1 << 20, 1 << 20
+
+
+def _best(post: DataFrame, wanted: pa.Table, k: int, by: list[str], terms: list[str]) -> DataFrame:
+    """(by..., doc_id, score, match_count, rank) of the ``k`` best documents of each row of ``by`` columns.
+
+    ``wanted`` has ``by`` and ``terms`` columns, times, df, weight and avgdl; ``post`` has ``terms`` columns, doc_id, tf
+    and dl. A posting that any query wants is exchanged once, by its document. Tasks add up what queries get from
+    whole documents and keep the k best of each, so pairs of a query and a document are never exchanged."""
+    spark = post.sparkSession
+    asked, askers = _numbered(wanted, by)
+    number, names = _numbered(wanted, terms)
+    order = np.lexsort((asked, number))
+    first = np.unique(number, return_index=True)[1]
+    one = lambda name: wanted.column(name).to_numpy()
+    table = spark.sparkContext.broadcast((
+        np.searchsorted(number[order], np.arange(len(first) + 1)), asked[order], one("times")[order], one("weight")[first], one("avgdl")[first], askers,
+    ))
+    local = F.broadcast(spark.createDataFrame(names.append_column("number", pa.array(np.arange(len(first))))))
+    matched = post.join(local, terms).select("number", "doc_id", "tf", "dl")
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(one("df")[first].sum() / TASK_POSTINGS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows or k <= 0:
+            return
+        start, who, times, weight, avgdl, askers = table.value
+        own = pa.Table.from_batches(rows)
+        ids = own.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        up = pc.array_sort_indices(ids.dictionary, null_placement="at_start").to_numpy()
+        doc = np.empty(len(up), np.int64)
+        doc[up] = np.arange(len(up))
+        doc, term, tf, dl = doc[ids.indices.to_numpy()], *(own.column(c).to_numpy() for c in ("number", "tf", "dl"))
+        at = np.lexsort((term, doc))
+        doc, term, tf, dl = doc[at], term[at], tf[at], dl[at]
+        mean = avgdl[term]
+        part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (dl / np.where(mean <= 0, 1.0, mean))))
+        askings = start[term + 1] - start[term]
+        total, new = np.cumsum(askings), np.flatnonzero(np.diff(doc, append=-1))  # the last rows of documents
+        floor, keep, low = np.full(askers.num_rows, -np.inf), None, 0
+        while low < len(doc):
+            full = np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")
+            high = new[np.searchsorted(new, max(full - 1, low))] + 1
+            found = _summed(slice(low, high), doc, term, part, askings, start, who, times)
+            found = found[:, found[2] >= floor[found[0].astype(np.int64)]]
+            keep = found if keep is None else np.hstack([keep, found])
+            keep = keep[:, np.lexsort((keep[1], -keep[2], keep[0]))]
+            place = np.arange(keep.shape[1]) - np.searchsorted(keep[0], keep[0])
+            keep, place = keep[:, place < k], place[place < k]
+            last = place == k - 1
+            floor[keep[0, last].astype(np.int64)] = keep[2, last]
+            low = high
+        at = pa.array(keep[0].astype(np.int64))
+        docs = ids.dictionary.take(pa.array(up[keep[1].astype(np.int64)]))
+        columns = [*(askers.column(c).combine_chunks().take(at) for c in by), docs, pa.array(keep[2]), pa.array(keep[3].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, [*by, "doc_id", "score", "match_count"])
+
+    kind = {f.name: f.dataType.simpleString() for f in [*post.schema, *spark.createDataFrame(askers.slice(0, 0)).schema]}
+    found = matched.repartition(tasks, "doc_id").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in [*by, "doc_id"]) + ", score double, match_count bigint")
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k))
+
+
+def _numbered(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, pa.Table]:
+    """The number of each row's values in ``columns`` among the distinct ones, and those."""
+    number = np.zeros(table.num_rows, np.int64)
+    for c in columns:
+        own = pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
+        coded = own.dictionary_encode(null_encoding="encode")
+        number = number * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    return number, table.select(columns).take(pa.array(first))
+
+
+def _summed(rows: slice, doc, term, part, askings, start, who, times) -> np.ndarray:
+    """Columns (query, document, score of 3 digits, matches) of postings of whole documents, by query and document."""
+    n = askings[rows]
+    row = np.repeat(np.arange(rows.start, rows.stop), n)
+    entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[term[row]]
+    low, width = doc[rows.start], doc[rows.stop - 1] - doc[rows.start] + 1
+    key = who[entry] * width + doc[row] - low
+    own = times[entry]
+    if (int(key.max()) + 1 if len(key) else 0) <= 4 * len(key) + 1000:
+        matches = np.bincount(key, own)
+        pair = np.flatnonzero(matches)
+        score, matches = np.bincount(key, own * part[row])[pair], matches[pair]
+    else:
+        pair, key = np.unique(key, return_inverse=True)
+        score, matches = np.bincount(key, own * part[row]), np.bincount(key, own)
+    score = np.sign(score) * np.floor(np.abs(score) * 1e3 + 0.5) / 1e3
+    return np.vstack([pair // width, pair % width + low, score, matches])
+
+
 def search_index(index: Index, queries: DataFrame, k: int = 10, stem: bool = True) -> DataFrame:
-    """The same over a built or loaded index: only postings of the queries' terms are read, and each has what its
-    score needs but the term's weight."""
-    wanted, here, avgdl = _wanted(index, queries, stem)
-    return top_k(_scored(index.postings.where(here).select("term", "doc_id", "tf", "dl"), wanted, avgdl), k)
+    """The same over a built or loaded index: only postings of the queries' terms are exchanged, and each has what its
+    score needs but the term's weight. Queries of more than HELD terms in all are joined as tables."""
+    wanted, here, avgdl, rows = _wanted(index, queries, stem)
+    post = index.postings.where(here).select("term", "doc_id", "tf", "dl")
+    if rows is None:
+        return top_k(_scored(post, wanted, avgdl), k)
+    return _best(post, rows.append_column("avgdl", pa.array(np.full(rows.num_rows, avgdl))), k, ["query_id"], ["term"])
 
 
 def block_bounds(index: Index, queries: DataFrame, stem: bool = True) -> DataFrame:
     """(query_id, block, bound): the most that a document of a block can score."""
-    wanted, here, avgdl = _wanted(index, queries, stem)
+    wanted, here, avgdl, _ = _wanted(index, queries, stem)
     return _block_bounds(index, wanted, here, avgdl)
 
 
@@ -130,7 +237,7 @@ def block_max_top(index: Index, queries: DataFrame, k: int = 10, stem: bool = Tr
     scored to the end. Other blocks' postings are dropped before they are summed."""
     if k <= 0:
         return search_index(index, queries, 0, stem)
-    wanted, here, avgdl = _wanted(index, queries, stem)
+    wanted, here, avgdl, _ = _wanted(index, queries, stem)
     bounds = cut(_block_bounds(index, wanted, here, avgdl))
     post = index.postings.where(here).select("term", "doc_id", "tf", "dl", F.floor(F.col("doc_id") / block).alias("block"))
     in_blocks = lambda chosen: _scored(post, wanted.join(chosen, "query_id"), avgdl)
@@ -143,12 +250,17 @@ def block_max_top(index: Index, queries: DataFrame, k: int = 10, stem: bool = Tr
 def sharded_search(post: DataFrame, lengths: DataFrame, shard: Column, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, shard, doc_id, score, match_count, rank): the k best of each query in each shard, by the shard's own
     document frequencies and mean length, as shards that don't know of each other give them."""
-    wanted = query_terms(queries)
-    own = post.select("term", "doc_id", "tf", "dl").withColumn("shard", shard).join(wanted, "term")
-    df = post.select("term", "doc_id").withColumn("shard", shard).groupBy("shard", "term").agg(F.count("*").alias("df"))
+    wanted = held(query_terms(queries))
+    own = post.select("term", "doc_id", "tf", "dl", shard.alias("shard"))
+    df = own.join(held(wanted.select("term").distinct()), "term").groupBy("shard", "term").agg(F.count("*").alias("df"))
     stats = lengths.withColumn("shard", shard).groupBy("shard").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    part = F.col("times") * bm25(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    summed = own.join(df, ["shard", "term"]).join(stats, "shard").withColumn("part", part).groupBy("query_id", "shard", "doc_id")
+    weight = idf(F.col("n_docs"), F.col("df")).alias("weight")
+    weighed = df.join(stats, "shard").join(wanted, "term").select("query_id", "shard", "term", "times", "df", weight, "avgdl")
+    rows = weighed.limit(HELD + 1).toArrow()
+    if rows.num_rows <= HELD:
+        return _best(own, rows, k, ["query_id", "shard"], ["shard", "term"])
+    part = F.col("times") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    summed = own.join(weighed, ["shard", "term"]).withColumn("part", part).groupBy("query_id", "shard", "doc_id")
     scored = summed.agg(F.sum("part").alias("score"), F.sum("times").alias("match_count")).withColumn("score", half_away(F.col("score"), 3))
     order = Window.partitionBy("query_id", "shard").orderBy(F.col("score").desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

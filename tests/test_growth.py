@@ -46,3 +46,36 @@ def test_index_exchanges_documents_not_tokens(spark, stems, monkeypatch):
     bounds = blocks.agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_len"), F.max("doc_id").alias("max_id"))
     got = own.bounds.select(*bounds.columns)
     assert got.count() == bounds.count() and got.exceptAll(bounds).count() == 0
+
+
+def hits(df) -> list[tuple]:
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_batches_exchange_postings_not_pairs(spark, monkeypatch):
+    """Postings go to their document once; pairs of queries and documents are added up and cut in the task."""
+    monkeypatch.setattr(R, "PAIRS", 50)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 8)))) for i in range(400)] + [(1 << 50, "a b c"), (None, "a a b")]
+    own = I.build(spark.createDataFrame(rows, "doc_id long, text string").coalesce(3), stem=False)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices("abcdefghz", k=rng.randint(0, 5)))) for q in range(40)] + [(None, "b c")], "query_id long, query string")
+    found = R.search_index(own, asked, 7, stem=False)
+    said = plan(found)
+    behind, before = said.split("MapInArrow", 1)
+    assert "Exchange hashpartitioning(query_id" in behind and behind.count("Exchange ") == 1 and "Exchange hashpartitioning(doc_id" in before
+    listed = hits(found)
+    monkeypatch.setattr(R, "HELD", 0)  # as tables, by joins
+    assert listed == hits(R.search_index(own, asked, 7, stem=False)) and len(listed) > 200
+
+
+def test_shards_exchange_postings_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAIRS", 50)
+    rng = random.Random(4)
+    own = I.build(spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 8)))) for i in range(300)], "doc_id long, text string"), stem=False)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices("abcdefgh", k=3))) for q in range(20)], "query_id long, query string")
+    columns = ["query_id", "shard", "doc_id", "score", "match_count", "rank"]
+    found = R.sharded_search(own.postings, own.doc_len, F.col("doc_id") % 4, asked, 5).select(*columns)
+    assert "MapInArrow" in plan(found).split("hashpartitioning(doc_id")[0]
+    listed = hits(found)
+    monkeypatch.setattr(R, "HELD", 0)
+    assert listed == hits(R.sharded_search(own.postings, own.doc_len, F.col("doc_id") % 4, asked, 5).select(*columns)) and len(listed) == 20 * 4 * 5
