@@ -55,7 +55,7 @@ class Engine:
     def hydrate(self, hits: DataFrame, queries: DataFrame) -> DataFrame:
         """``hits`` with titles (the id where there is none) and snippets; vector-only hits have no terms to mark."""
         words = queries.select("query_id", F.split(F.lower(F.trim("query")), r"\s+").alias("words"))
-        full = hits.join(self.documents().select("doc_id", "title", "text"), "doc_id").join(words, "query_id")
+        full = ranking.held(hits).join(self.documents().select("doc_id", "title", "text"), "doc_id").join(words, "query_id")
         marked = F.when(F.col("bm25_rank").isNotNull(), F.col("words")).otherwise(F.array().cast("array<string>"))
         title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("doc_id").cast("string"))
         return full.withColumn("snippet", ranking.snippet(F.col("text"), marked)).withColumn("title", title).drop("text", "words")

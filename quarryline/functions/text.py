@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,7 +173,7 @@ def fnv1a64(data: bytes, seed: int = 0xCBF29CE484222325) -> int:
     return h
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def _fnv_text(text: str) -> int:
     return fnv1a64(text.encode())
 
@@ -194,12 +196,80 @@ def embed(text: str, dim: int = 128) -> np.ndarray:
 
 
 _STOP = frozenset(STOPWORDS)
+#: Characters of text, and words, that are embedded at once.
+EMBED_CHARS, EMBED_WORDS = 1 << 19, 1 << 13
+#: Bytes up to which words are hashed side by side.
+SHORT = 32
+
+
+def _spans(letters: np.ndarray, lengths: np.ndarray, n: int | None, dim: int) -> np.ndarray:
+    """By word: the sums of its features of ``n`` letters (None: the word itself) in each dimension.
+    letters: bytes of words, 0 behind their ends."""
+    size, width = letters.shape
+    starts = 1 if n is None else width - n + 1
+    if starts < 1:
+        return np.zeros((size, dim))
+    h = np.full((size, starts), 0xCBF29CE484222325, np.uint64)
+    for i in range(width if n is None else n):
+        byte = letters[:, i : i + starts].astype(np.uint64)
+        moved = (h ^ byte) * np.uint64(0x100000001B3)
+        h = np.where(lengths[:, None] > i, moved, h) if n is None else moved
+    there = np.arange(starts) <= (lengths - (n or 1))[:, None] if n is not None else lengths[:, None] > 0
+    word, place = np.nonzero(there)
+    own = h[word, place]
+    sign = np.where(own & np.uint64(1), -1.0, 1.0)
+    return np.bincount(word * dim + (own % np.uint64(dim)).astype(np.int64), sign, minlength=size * dim).reshape(size, dim)
+
+
+def _features(words: list[str], dim: int) -> np.ndarray:
+    """By word: the sum of its features in each dimension; zeros for words that are left out."""
+    bare = [w.strip(EMBED_TRIM) for w in words]
+    bare = ["" if w in _STOP else w for w in bare]
+    short = [w.encode() if w.isascii() and len(w) <= SHORT and "\0" not in w else b"" for w in bare]
+    lengths = np.fromiter(map(len, short), np.int64, len(short))
+    letters = np.array(short, f"S{max(1, int(lengths.max(initial=0)))}")
+    letters = letters.view(np.uint8).reshape(len(short), -1)
+    out = sum(_spans(letters, lengths, n, dim).astype(np.float32) for n in (None, 3, 4))
+    for at, word in enumerate(bare):
+        if word and not lengths[at]:
+            for feature in [word, *(word[i : i + n] for n in (3, 4) for i in range(len(word) - n + 1))]:
+                h = _fnv_text(feature)
+                out[at, h % dim] += -1.0 if h & 1 else 1.0
+    return out
+
+
+def embed_all(texts: list[str | None], dim: int = 128) -> np.ndarray:
+    """:func:`embed` of each text: distinct words of neighbouring texts are hashed once, side by side."""
+    out = np.zeros((len(texts), dim))
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high] or "") <= EMBED_CHARS):
+            size += len(texts[high] or "")
+            high += 1
+        numbers: dict[str, int] = {}
+        words = [[numbers.setdefault(w, len(numbers)) for w in (t or "").lower().split()] for t in texts[low:high]]
+        distinct = list(numbers)
+        features = np.concatenate([np.zeros((0, dim), np.float32), *(_features(distinct[i : i + EMBED_WORDS], dim) for i in range(0, len(distinct), EMBED_WORDS))])
+        for row, own in enumerate(words, low):
+            for i in range(0, len(own), EMBED_WORDS):
+                out[row] += features[own[i : i + EMBED_WORDS]].sum(axis=0, dtype=float)
+        low = high
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+#: Texts that are embedded before their vectors are handed on.
+EMBED_TEXTS = 512
 
 
 def embedding(text: Column, dim: int = 128) -> Column:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t or "", dim))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for low in range(0, len(texts), EMBED_TEXTS):
+                own = embed_all(texts.slice(low, EMBED_TEXTS).to_pylist(), dim)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * dim, pa.int32()), pa.array(own.ravel()))
 
     return run(text)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import STOPWORDS, TOKEN_TRIM
+from ..functions.memory import lean
 from ..functions.text import blanks, fields, stem
 
 
@@ -51,15 +52,15 @@ def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # --- documents taken apart where they lie ---------------------------------------------
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.Table]:
-    """Rows of about CHUNK bytes of text; with ``whole``, neighbours of one block stay together."""
+def _chunks(batches: Iterable[pa.RecordBatch], whole: bool, most: int) -> Iterator[pa.Table]:
+    """Rows of about ``most`` bytes of text; with ``whole``, neighbours of one block stay together."""
     held, size, last = [], 0, None
     for batch in batches:
         start = 0
         lengths = pc.binary_length(batch.column("text")).to_pylist()
         blocks = batch.column("block").to_pylist() if whole else range(len(lengths))
         for i, (n, block) in enumerate(zip(lengths, blocks, strict=True)):
-            if size >= CHUNK and (block != last or not whole):
+            if size >= most and (block != last or not whole):
                 yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
                 held, size, start = [], 0, i
             size, last = size + n + 64, block
@@ -130,11 +131,11 @@ def postings(docs: DataFrame, stem: bool = False, id_col: str = "doc_id", text_c
     known, else they are counted): then what the texts of one id have is added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, False):
+        for chunk in _chunks(batches, False, CHUNK):
             own = _taken_apart(chunk, stem)
             yield _told({k: own[k] for k in ("term", "doc_id", "tf", "dl", "positions")})
 
-    own = docs.select(F.col(id_col).alias("doc_id"), blanks(F.lower(F.col(text_col))).alias("text")).mapInArrow(run, _fields(docs, id_col))
+    own = docs.select(F.col(id_col).alias("doc_id"), blanks(F.lower(F.col(text_col))).alias("text")).mapInArrow(lean(run), _fields(docs, id_col))
     if unique is None:
         unique = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if unique:
@@ -158,7 +159,7 @@ def _segments(docs: DataFrame, stem: bool, id_col: str = "doc_id", text_col: str
     Texts are exchanged once, by block; a token never is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, True):
+        for chunk in _chunks(batches, True, CHUNK):
             own = _taken_apart(chunk, stem)
             tf, row, number = own["tf"], own.pop("row"), own.pop("number")
             if not len(tf):
@@ -175,7 +176,7 @@ def _segments(docs: DataFrame, stem: bool, id_col: str = "doc_id", text_col: str
 
     own = docs.select(F.floor(F.col(id_col) / BLOCK).alias("block"), F.col(id_col).alias("doc_id"), blanks(F.lower(F.col(text_col))).alias("text"))
     dealt = own.repartition(_parts(docs, least), "block").sortWithinPartitions("block", "doc_id")
-    return dealt.mapInArrow(run, _fields(docs, id_col, "block bigint", "n bigint", "max_tf bigint", "min_len bigint"))
+    return dealt.mapInArrow(lean(run), _fields(docs, id_col, "block bigint", "n bigint", "max_tf bigint", "min_len bigint"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import RRF_K, STOPWORDS, TOKEN_TRIM, B, K1  # noqa: F401
+from ..functions.memory import lean
 from ..functions.numbers import half_away
 from ..functions.text import fields, is_stopword, stem, stemmed, tokens, trimmed
 from .graph import cut
@@ -171,7 +172,7 @@ def _best(post: DataFrame, wanted: pa.Table, k: int, by: list[str], terms: list[
         yield pa.RecordBatch.from_arrays(columns, [*by, "doc_id", "score", "match_count"])
 
     kind = {f.name: f.dataType.simpleString() for f in [*post.schema, *spark.createDataFrame(askers.slice(0, 0)).schema]}
-    found = matched.repartition(tasks, "doc_id").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in [*by, "doc_id"]) + ", score double, match_count bigint")
+    found = matched.repartition(tasks, "doc_id").mapInArrow(lean(run), ", ".join(f"{c} {kind[c]}" for c in [*by, "doc_id"]) + ", score double, match_count bigint")
     order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k))
 

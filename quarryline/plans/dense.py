@@ -113,7 +113,7 @@ def _lexical(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, v): the vectors that stand for the queries."""
     own = vectors(spark, d).withColumnRenamed("doc_id", "query_id")
-    return own.join(bench_queries(spark, d).select("query_id"), "query_id", "left_semi")
+    return own.join(R.held(bench_queries(spark, d).select("query_id")), "query_id", "left_semi")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def hybrid_mode_filter(spark: SparkSession, d: str) -> DataFrame:
 )
 def rerank_boost(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("snippet"))
-    hits = _fused(spark, d).select("query_id", "doc_id", "rrf_score", "rank").join(docs, "doc_id").join(bench_queries(spark, d), "query_id")
+    hits = docs.join(R.held(_fused(spark, d).select("query_id", "doc_id", "rrf_score", "rank")), "doc_id").join(R.held(bench_queries(spark, d)), "query_id")
     return S.rerank(hits, 5).select("query_id", "doc_id", "original_rank", "rerank_score", "rank")
 
 
@@ -171,10 +171,10 @@ def scatter_gather_merge(spark: SparkSession, d: str) -> DataFrame:
 )
 def two_stage_rescore(spark: SparkSession, d: str) -> DataFrame:
     """The 100 best by BM25, those of them that have a vector scored by int8, both fused."""
-    lexical = _lexical(spark, d, 100)
-    codes = vectors(spark, d).select("doc_id", V.quantize(F.col("v")).alias("code"))
+    lexical = R.held(_lexical(spark, d, 100))
+    own = vectors(spark, d).join(lexical.select("query_id", "doc_id"), "doc_id").select("query_id", "doc_id", V.quantize(F.col("v")).alias("code"))
     asked = _asked(spark, d).select("query_id", V.unit(F.col("v")).alias("u"))
-    pairs = lexical.select("query_id", "doc_id").join(codes, "doc_id").join(asked, "query_id")
+    pairs = own.join(R.held(asked), "query_id")
     near = pairs.select("query_id", "doc_id", half_away(clamp(V.int8_dot(F.col("u"), F.col("code")), -1.0, 1.0), 4).alias("similarity"))
     return S.two_stage(lexical, near, 10)
 
@@ -187,7 +187,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Stored index and stored vectors, twice as many hits of each kind as are asked for, fused, then their metadata."""
     title = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.col("doc_id").cast("string"))
     about = table(spark, d, "documents").select("doc_id", title.alias("title"), "lang")
-    return _fused(spark, d).join(about, "doc_id")
+    return R.held(_fused(spark, d)).join(about, "doc_id")
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -211,4 +211,4 @@ def hybrid_embedded(spark: SparkSession, d: str) -> DataFrame:
 def agentic_synthesis(spark: SparkSession, d: str) -> DataFrame:
     """Answers from the three best hits of the stored index and the stored vectors."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("snippet"))
-    return S.synthesize(_fused(spark, d).where("rank <= 3").join(docs, "doc_id"))
+    return S.synthesize(docs.join(R.held(_fused(spark, d).where("rank <= 3")), "doc_id"))

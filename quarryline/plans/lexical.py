@@ -152,7 +152,7 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
     """Highlighted passages of the best hits only: ranking first, texts afterwards."""
     docs, queries = table(spark, d, "documents"), bench_queries(spark, d)
     words = queries.select("query_id", F.filter(T.fields(F.lower("query")), lambda w: ~T.is_stopword(w)).alias("words"))
-    best = R.search_index(stored_index(spark, d), queries, 3, stem=False).join(docs.select("doc_id", "text"), "doc_id").join(words, "query_id")
+    best = R.held(R.search_index(stored_index(spark, d), queries, 3, stem=False)).join(docs.select("doc_id", "text"), "doc_id").join(words, "query_id")
     return best.select("query_id", "doc_id", "score", R.snippet(F.col("text"), F.col("words")).alias("snippet"))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as T
 from quarryline.operators import index as I
 from quarryline.operators import ranking as R
+from quarryline.plans import QUERIES
+
+from .conftest import TESTDATA
 
 
 def plan(df) -> str:
@@ -79,3 +82,32 @@ def test_shards_exchange_postings_not_pairs(spark, monkeypatch):
     listed = hits(found)
     monkeypatch.setattr(R, "HELD", 0)
     assert listed == hits(R.sharded_search(own.postings, own.doc_len, F.col("doc_id") % 4, asked, 5).select(*columns)) and len(listed) == 20 * 4 * 5
+
+
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """Embeddings of many texts equal those of each, bit for bit."""
+    rng = random.Random(5)
+    words = ["a", "the", "bb", "ccc", "dddd", "<tag>", "straße", "İx", "don't", "x" * 33, "\0z", "long-hyphened-word", "--", "é"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "\u3000"]
+    want = [T.embed(t or "").tolist() for t in texts]
+    assert T.embed_all(texts).tolist() == want
+    monkeypatch.setattr(T, "EMBED_CHARS", 100)
+    monkeypatch.setattr(T, "EMBED_WORDS", 5)
+    assert T.embed_all(texts).tolist() == want and T.embed_all([]).shape == (0, 128)
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "hybrid_embedded", "rerank_boost", "agentic_synthesis", "two_stage_rescore"])
+def test_hits_go_to_the_documents(spark, name):
+    """Tables of documents or vectors are not exchanged for the few that were hit, whatever Spark takes a table's size for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        said = plan(QUERIES[name](spark, TESTDATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = []
+    for line in said.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, x) for d, x in above if d < depth] + [(depth, line)]
+        if "FileScan parquet" in line and ("documents.parquet" in line or "embeddings.parquet" in line):
+            joins = [i for i, (_, x) in enumerate(above) if "Join" in x or "MapIn" in x]
+            assert joins and not any("Exchange hashpartitioning" in x for _, x in above[joins[-1] :]), said
