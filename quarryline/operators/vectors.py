@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import lean
 from ..functions.numbers import half_away, let
 from .ranking import top_k
 
@@ -86,7 +87,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 40
     The queries (query_id, v) are a stated set, compared in blocks with all of
     ``vectors`` (doc_id, v): a block is a matrix that is broadcast, each task
     keeps its k best of each query, and the k best of those are ranked. What is
-    exchanged is k rows per query and task. Without ``unit_vectors`` those of
+    exchanged is k rows per query and task; what a task holds is bounded by PAIRS
+    and k rows per query. Without ``unit_vectors`` those of
     ``vectors`` are taken as they are. Without ``positive_only`` all similarities
     count, as in stores that drop none; ``floor`` lifts lower ones to it."""
     spark = vectors.sparkSession
@@ -111,30 +113,43 @@ def _units(m: np.ndarray) -> np.ndarray:
     return np.divide(m, lengths, out=np.zeros_like(m), where=lengths > 0)
 
 
+#: Pairs of a vector and a query that are compared at once.
+PAIRS = 1 << 20
+
+
 def _best(vectors: DataFrame, held, k: int, positive_only: bool, unit_vectors: bool, floor: float | None) -> DataFrame:
     def run(batches):
         ids, matrix = held.value
-        keep: pd.DataFrame | None = None
+        step = max(1, PAIRS // len(ids))
+        least = np.full(len(ids), -np.inf)  # of each query the k-th best score so far
+        keep = np.empty((0,), [("query", "i8"), ("doc", "i8"), ("score", "f8")])
         for batch in batches:
             batch = batch[batch["v"].notna()]
-            if not len(batch):
-                continue
-            own = np.stack(batch["v"].to_numpy()).astype(float)
-            scores = (_units(own) if unit_vectors else own) @ matrix.T
-            scores = np.sign(scores) * np.floor(np.abs(np.clip(scores, -1, 1)) * 1e4 + 0.5) / 1e4
-            if floor is not None:
-                scores = np.maximum(scores, floor)
-            if positive_only:
-                scores = np.where(scores > 0, scores, -np.inf)
-            # Whatever reaches the k-th best score, ties with it too, is ranked.
-            n = len(scores)
-            least = np.partition(scores, max(0, n - k), axis=0)[max(0, n - k)] if k > 0 else np.inf
-            row, col = np.nonzero((scores >= least) & np.isfinite(scores))
-            new = pd.DataFrame({"query_id": np.asarray(ids)[col], "doc_id": batch["doc_id"].to_numpy()[row], "similarity": scores[row, col]})
-            both = new if keep is None else pd.concat([keep, new])
-            keep = both.sort_values(["query_id", "similarity", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if keep is not None:
-            yield keep
+            for low in range(0, len(batch) if k > 0 else 0, step):
+                part = batch.iloc[low : low + step]
+                own = np.stack(part["v"].to_numpy()).astype(float)
+                scores = (_units(own) if unit_vectors else own) @ matrix.T
+                scores = np.sign(scores) * np.floor(np.abs(np.clip(scores, -1, 1)) * 1e4 + 0.5) / 1e4
+                if floor is not None:
+                    scores = np.maximum(scores, floor)
+                if positive_only:
+                    scores = np.where(scores > 0, scores, -np.inf)
+                # Whatever reaches the k-th best score, ties with it too, is ranked.
+                n = len(scores)
+                here = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(len(ids), -np.inf)
+                row, col = np.nonzero((scores >= np.maximum(here, least)) & np.isfinite(scores))
+                if not len(row):
+                    continue
+                new = np.empty(len(row), keep.dtype)
+                new["query"], new["doc"], new["score"] = col, part["doc_id"].to_numpy()[row], scores[row, col]
+                both = np.concatenate([keep, new])
+                both = both[np.lexsort((both["doc"], -both["score"], both["query"]))]
+                place = np.arange(len(both)) - np.searchsorted(both["query"], both["query"])
+                keep, place = both[place < k], place[place < k]
+                last = keep[place == k - 1]
+                least[last["query"]] = last["score"]
+        if len(keep):
+            yield pd.DataFrame({"query_id": np.asarray(ids)[keep["query"]], "doc_id": keep["doc"], "similarity": keep["score"]})
 
     pairs = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), doubles(F.col("v")).alias("v"))
-    return pairs.mapInPandas(run, "query_id long, doc_id long, similarity double")
+    return pairs.mapInPandas(lean(run), "query_id long, doc_id long, similarity double")
