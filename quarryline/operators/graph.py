@@ -75,19 +75,18 @@ def resolve_aliases(aliases: DataFrame, keys: DataFrame | None = None) -> DataFr
     """(key, canonical): where chains of (alias, canonical) end. Keys without
     an alias, and keys on a cycle or leading into one, are their own.
 
-    Each round doubles the steps taken, so n aliases take log2 n rounds at
-    most; what has not ended by then never ends."""
+    Each round doubles the steps taken, so chains of n steps take log2 n rounds.
+    If a round ends no key's chain, the rest never end: a chain that does end has
+    keys at every distance from its end, one of them in the reach of each round."""
     own = cut(aliases.select(F.col("alias").alias("key"), F.col("canonical").alias("to")).where("key != to").groupBy("key").agg(F.min("to").alias("to")))
-    n = own.count()
-    hops, reach = own, 1
-    while reach <= n:
+    hops, left = own, own.count()
+    while True:
         onward = hops.select(F.col("key").alias("to"), F.col("to").alias("next"))
         moved = cut(hops.join(onward, "to", "left").select("key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
-        hops, reach = moved.select("key", "to"), reach * 2
-        if moved.where("moved").isEmpty():
+        hops, before, left = moved.select("key", "to"), left, moved.where("moved").count()
+        if left in (0, before):
             break
-    endless = hops.join(own.select(F.col("key").alias("to")), "to", "left_semi").select("key", F.col("key").alias("canonical"))
-    known = hops.join(endless, "key", "left_anti").select("key", F.col("to").alias("canonical")).union(endless)
+    known = moved.select("key", F.when(F.col("moved"), F.col("key")).otherwise(F.col("to")).alias("canonical"))
     if keys is None:
         return known
     return keys.select("key").distinct().join(known, "key", "left").select("key", F.coalesce("canonical", "key").alias("canonical"))
