@@ -78,9 +78,9 @@ def _encoded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def _taken_apart(chunk: pa.Table, stems: bool) -> dict[str, pa.Array | np.ndarray]:
-    """Postings of the texts of ``chunk`` (doc_id, text), by term and then by document in the order of the rows.
-    Texts with one id are one document."""
+def _taken_apart(chunk: pa.Table, stems: bool) -> tuple[dict[str, pa.Array | np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the texts of ``chunk`` (doc_id, text), by term and then by document in the order of the rows; the
+    number of each one's term and its row; the lengths of all rows. Texts with one id are one document."""
     words = pc.split_pattern(chunk["text"].combine_chunks(), " ")
     rows = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
     code, raw = _encoded(words.flatten())
@@ -109,10 +109,11 @@ def _taken_apart(chunk: pa.Table, stems: bool) -> dict[str, pa.Array | np.ndarra
     start = np.flatnonzero(np.diff(key, prepend=-1))
     ends = np.append(start, len(key))
     term, doc = np.divmod(key[start], len(ids))
-    return {
+    own = {
         "term": terms.take(pa.array(order[term])), "doc_id": ids.take(pa.array(doc)), "tf": np.diff(ends), "dl": lengths[first[doc]],
-        "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[at], pa.int32())), "number": term, "row": first[doc],
+        "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[at], pa.int32())),
     }
+    return own, term, first[doc], lengths
 
 
 def _fields(docs: DataFrame, id_col: str, *more: str) -> str:
@@ -132,18 +133,51 @@ def postings(docs: DataFrame, stem: bool = False, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, False, CHUNK):
-            own = _taken_apart(chunk, stem)
-            yield _told({k: own[k] for k in ("term", "doc_id", "tf", "dl", "positions")})
+            yield _told(_taken_apart(chunk, stem)[0])
 
     own = docs.select(F.col(id_col).alias("doc_id"), blanks(F.lower(F.col(text_col))).alias("text")).mapInArrow(lean(run), _fields(docs, id_col))
-    if unique is None:
-        unique = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if unique:
+    if unique or (unique is None and not repeated(docs, id_col)):
         return own
     added = own.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return added.select("term", "doc_id", "tf", "dl", "positions")
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether any id comes up twice."""
+    return not docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, text, version), whose ids don't repeat: (doc_id, version, dl, terms, ends,
+    positions). terms are joined by blanks; the positions of the i-th are those from ends[i - 1] to ends[i]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, False, CHUNK):
+            own, number, row, lengths = _taken_apart(chunk, False)
+            at = np.lexsort((number, row))
+            tf, n = own["tf"][at], np.bincount(row, minlength=len(lengths))
+            first, places = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(np.bincount(row[at], tf, len(lengths)).astype(np.int64)))
+            lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
+            yield _told({
+                "doc_id": chunk["doc_id"].combine_chunks(), "version": chunk["version"].combine_chunks(), "dl": lengths,
+                "terms": pc.binary_join(lists(first, own["term"].take(pa.array(at))), " "),
+                "ends": lists(first, pa.array(np.cumsum(tf) - np.repeat(places[:-1], n), pa.int32())),
+                "positions": lists(places, own["positions"].take(pa.array(at)).flatten()),
+            })
+
+    kind = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "version")}
+    own = docs.select("doc_id", "version", blanks(F.lower(F.col("text"))).alias("text"))
+    return own.mapInArrow(lean(run), f"doc_id {kind['doc_id']}, version {kind['version']}, dl bigint, terms string, ends array<int>, positions array<int>")
+
+
+def unpacked(own: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, positions) of :func:`packed` rows."""
+    flat = own.where(F.size("ends") > 0).select("doc_id", "ends", "positions", F.posexplode(F.split("terms", " ")).alias("i", "term"))
+    start = F.when(F.col("i") > 0, F.element_at("ends", F.greatest(F.col("i"), F.lit(1)))).otherwise(0)
+    placed = flat.select("term", "doc_id", (F.element_at("ends", F.col("i") + 1) - start).alias("tf"), start.alias("start"), "positions")
+    return placed.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.slice("positions", F.col("start") + 1, F.col("tf")).alias("positions"))
+
+
 def _parts(docs: DataFrame, least: int) -> int:
     """Tasks for the documents: as many as there are cores, and so many that one gets TASK_BYTES as scanned."""
     spark = docs.sparkSession
@@ -160,8 +194,8 @@ def _segments(docs: DataFrame, stem: bool, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, True, CHUNK):
-            own = _taken_apart(chunk, stem)
-            tf, row, number = own["tf"], own.pop("row"), own.pop("number")
+            own, number, row, _ = _taken_apart(chunk, stem)
+            tf = own["tf"]
             if not len(tf):
                 continue
             block, blocks = _encoded(chunk["block"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.index import doc_lengths, postings
+from ..operators.index import packed, repeated, unpacked
 
 MESSAGE = "doc_id long, text string, version long"
 UPDATE = "url string, title string, text string, version long"
@@ -44,26 +44,26 @@ def outgoing(docs: DataFrame, key: str) -> DataFrame:
 def upsert_index(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: adds the batch's documents to the index at ``path``.
 
-    A batch writes its own postings and lengths under its number and then marks
-    it whole, so a batch that is run again overwrites only itself, readers never
-    see half of one, and the cost of a batch is its own size. Readers take each
-    document from the batch that has its highest version, of equal versions from
-    the latest batch; so an old message that comes late changes nothing, and all
+    A batch writes its own documents, a row of packed postings for each, under its
+    number and then marks it whole, so a batch that is run again overwrites only
+    itself, readers never see half of one, and the cost of a batch is its own size.
+    Texts are exchanged only if a document comes up twice in a batch. Readers take
+    each document from the batch that has its highest version, of equal versions
+    from the latest batch; so an old message that comes late changes nothing, and all
     postings of a replaced document go. :func:`compact` merges batches."""
 
     def run(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("version", F.lit(0)).alias("version"), "text")).alias("m"))
-        own = latest.select("doc_id", "m.text", "m.version")
-        lengths = doc_lengths(own).join(own.select("doc_id", "version"), "doc_id")
-        _write(f"{path}/v={number}", postings(own, unique=True).drop("dl"), lengths)
+        own = batch.select("doc_id", "text", F.coalesce("version", F.lit(0)).alias("version"))
+        if repeated(own):
+            own = own.groupBy("doc_id").agg(F.max(F.struct("version", "text")).alias("m")).select("doc_id", "m.text", "m.version")
+        _write(f"{path}/v={number}", packed(own))
 
     return run
 
 
-def _write(folder: str, post: DataFrame, lengths: DataFrame) -> None:
-    post.write.mode("overwrite").parquet(f"{folder}/postings")
-    lengths.write.mode("overwrite").parquet(f"{folder}/doc_len")
-    post.sparkSession.createDataFrame([(1,)], "n long").write.mode("overwrite").parquet(f"{folder}/done")
+def _write(folder: str, own: DataFrame) -> None:
+    own.write.mode("overwrite").parquet(f"{folder}/documents")
+    own.sparkSession.createDataFrame([(1,)], "n long").write.mode("overwrite").parquet(f"{folder}/done")
 
 
 def _whole(spark: SparkSession, path: str, kind: str) -> list[int]:
@@ -84,15 +84,25 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return [*(f"m={m}" for m in merged), *(f"v={v}" for v in since)]
 
 
-def current_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_len): each document as its highest version has it. However many batches there are, the plan scans one table."""
+def _current(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(packed documents, doc_len): each document as its highest version has it."""
     folders = versions(spark, path)
     if not folders:
         raise FileNotFoundError(f"no index at {path}")
     number = F.regexp_extract(F.col("_metadata.file_path"), r"/[vm]=(\d+)/", 1).cast("long")
-    read = lambda name: spark.read.parquet(*(f"{path}/{f}/{name}" for f in folders)).withColumn("batch", number)
-    latest = read("doc_len").groupBy("doc_id").agg(F.max_by(F.struct("dl", "version", "batch"), F.struct("version", "batch")).alias("l")).select("doc_id", "l.*")
-    return read("postings").join(latest.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch"), latest.drop("batch")
+    own = spark.read.parquet(*(f"{path}/{f}/documents" for f in folders))
+    if len(folders) == 1:
+        return own, own.select("doc_id", "dl", "version")
+    own = own.withColumn("batch", number)
+    latest = own.groupBy("doc_id").agg(F.max_by(F.struct("dl", "version", "batch"), F.struct("version", "batch")).alias("l")).select("doc_id", "l.*")
+    kept = own.join(latest.select("doc_id", "batch").hint("shuffle_hash"), ["doc_id", "batch"], "left_semi")
+    return kept.drop("batch"), latest.drop("batch")
+
+
+def current_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, doc_len): each document as its highest version has it. However many batches there are, the plan scans one table."""
+    own, latest = _current(spark, path)
+    return unpacked(own), latest
 
 
 def compact(spark: SparkSession, path: str) -> None:
@@ -104,7 +114,7 @@ def compact(spark: SparkSession, path: str) -> None:
     batches, before = _whole(spark, path, "v"), _whole(spark, path, "m")[-1:]
     if not batches or before == [batches[-1]]:
         return
-    _write(f"{path}/m={batches[-1]}", *current_index(spark, path))
+    _write(f"{path}/m={batches[-1]}", _current(spark, path)[0])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if before:
