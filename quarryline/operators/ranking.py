@@ -296,10 +296,35 @@ def complete(terms: DataFrame, prefix: str, k: int = 10, longest: int = 64) -> D
     return found.orderBy(F.col("frequency").desc(), "term").limit(max(0, k))
 
 
+def _shared(a: str, b: str) -> int:
+    """The length of the longest prefix that both have."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
 def prefix_count(terms: DataFrame) -> DataFrame:
-    """The number of different prefixes of all terms: the nodes of their trie."""
-    cut = terms.where("term != ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", F.lit(1), i))).alias("prefix"))
-    return cut.agg(F.countDistinct("prefix").alias("nodes"))
+    """The number of different prefixes of all terms: the nodes of their trie.
+
+    In order, a term adds the prefixes that it does not share with the one before it. So terms are sorted by ranges
+    and no prefix is made; ranges send their first and last terms and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, nodes = None, "", 0
+        for batch in batches:
+            for term in batch.column(0).to_pylist():
+                first = term if first is None else first
+                nodes += len(term) - _shared(last, term)
+                last = term
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"first": [first], "last": [last], "nodes": [nodes]})
+
+    own = terms.where("term != ''").select("term")
+    ranges = own.repartitionByRange("term").sortWithinPartitions("term").mapInArrow(run, "first string, last string, nodes bigint").collect()
+    ranges.sort(key=lambda r: r["first"])
+    nodes = sum(r.nodes for r in ranges) - sum(_shared(a.last, b["first"]) for a, b in zip(ranges, ranges[1:]))
+    return terms.sparkSession.range(1).select(F.lit(nodes).cast("long").alias("nodes"))
 
 
 def highlight(body: str, terms: list[str], longest: int = 180) -> str:

@@ -111,3 +111,27 @@ def test_hits_go_to_the_documents(spark, name):
         if "FileScan parquet" in line and ("documents.parquet" in line or "embeddings.parquet" in line):
             joins = [i for i, (_, x) in enumerate(above) if "Join" in x or "MapIn" in x]
             assert joins and not any("Exchange hashpartitioning" in x for _, x in above[joins[-1] :]), said
+
+
+def test_prefixes_are_counted_in_order(spark):
+    """Nodes of a trie by sorted terms: no prefix is exchanged, or made at all."""
+    rng = random.Random(7)
+    terms = [None, "", "é", "\U0001f600\U0001f600", "\uffee", *("".join(rng.choices("abé\U0001f600", k=rng.randint(1, 7))) for _ in range(2000))]
+    df = spark.createDataFrame([(t,) for t in terms], "term string").repartition(3)
+    found = R.prefix_count(df)
+    assert "Generate" not in plan(found) and found.dtypes == [("nodes", "bigint")]
+    assert found.first().nodes == len({t[:i] for t in terms if t for i in range(1, len(t) + 1)})
+    assert R.prefix_count(df.where("false")).first().nodes == 0
+
+
+def test_postings_are_counted_where_texts_lie(spark):
+    assert "Exchange" not in plan(I.postings(odd_documents(spark).where("doc_id not in (5, 7)")))
+    docs = odd_documents(spark)  # two ids come up twice
+    want = grouped(docs)
+    own = I.postings(docs).select(*want.columns)
+    assert own.count() == want.count() and own.exceptAll(want).count() == 0
+
+
+def test_block_stats_exchange_documents_only(spark):
+    said = plan(I.block_stats(odd_documents(spark)))
+    assert said.count("Exchange hashpartitioning") == 1 and said.index("MapInArrow") < said.index("Exchange")
