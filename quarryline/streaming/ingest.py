@@ -62,7 +62,7 @@ def upsert_index(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def _write(folder: str, own: DataFrame) -> None:
-    own.write.mode("overwrite").parquet(f"{folder}/documents")
+    own.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/documents")
     own.sparkSession.createDataFrame([(1,)], "n long").write.mode("overwrite").parquet(f"{folder}/done")
 
 
